@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from quadloom.llm.bpe import op4_bpe
+from quadloom.llm.pii import op1_pii
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op4_bpe": op4_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
