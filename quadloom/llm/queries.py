@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from quadloom.llm.bpe import op4_bpe
 from quadloom.llm.pii import op1_pii
+from quadloom.llm.repetition import op2_repetition
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_repetition": op2_repetition,
     "op4_bpe": op4_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
