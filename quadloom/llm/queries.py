@@ -5,6 +5,7 @@ from __future__ import annotations
 from quadloom.llm import topk
 from quadloom.llm.bpe import op4_bpe
 from quadloom.llm.language import op8_language
+from quadloom.llm.near import op6_near
 from quadloom.llm.pii import op1_pii
 from quadloom.llm.repetition import op2_repetition
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_repetition": op2_repetition,
     "op4_bpe": op4_bpe,
+    "op6_near": op6_near,
     "op8_language": op8_language,
     "op9_topk": topk.op9_topk,
 }
