@@ -8,11 +8,13 @@ from quadloom.llm.language import op8_language
 from quadloom.llm.near import op6_near
 from quadloom.llm.pii import op1_pii
 from quadloom.llm.repetition import op2_repetition
+from quadloom.llm.substrings import op5_substrings
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_repetition": op2_repetition,
     "op4_bpe": op4_bpe,
+    "op5_substrings": op5_substrings,
     "op6_near": op6_near,
     "op8_language": op8_language,
     "op9_topk": topk.op9_topk,

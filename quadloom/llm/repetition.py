@@ -91,20 +91,22 @@ def repeats(ids: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray
     if not len(some):
         return none, none, again
     sa = some[np.argsort(rank[some], kind="stable")]
-    lcp = common(ids, ends, sa, rank)
+    lcp = common(ids, ends, sa)
     return *intervals(n, sa, lcp, least), again
 
 
-def common(ids, ends, sa, rank) -> np.ndarray:
-    """lcp[k]: words that suffixes sa[k-1] and sa[k] share (0 for k = 0). Kasai: where place p and the suffix before it
+def common(ids, ends, sa, within: bool = True) -> np.ndarray:
+    """lcp[k]: words that suffixes sa[k-1] and sa[k] share (0 for k = 0; if within, 0 across texts). Kasai: where place p and the suffix before it
     are both one further than those of place p-1, they share one less. Only the first places of such runs are compared,
     all at once, over stretches that double."""
     n = len(ids)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     has = np.zeros(n, np.bool_)
-    has[sa[1:]] = ends[sa[1:]] == ends[sa[:-1]]
-    along = np.r_[False, has[1:] & has[:-1] & (before[1:] == before[:-1] + 1)]
+    has[sa[1:]] = (ends[sa[1:]] == ends[sa[:-1]]) | (not within)
+    # (the texts do not change on the way either, lest a shared part end with its text)
+    along = np.r_[False, has[1:] & has[:-1] & (before[1:] == before[:-1] + 1) & (ends[1:] == ends[:-1])]
+    along[1:] &= ends[before[1:]] == ends[before[:-1]]
     heads = np.flatnonzero(has & ~along)
     a, b = heads, before[heads]
     most = np.minimum(ends[a] - a, ends[b] - b)
