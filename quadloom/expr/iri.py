@@ -1,7 +1,5 @@
 """IRIs as column expressions."""
 
-from __future__ import annotations
-
 import unicodedata
 
 import pandas as pd
@@ -20,8 +18,10 @@ SAFE = rf"^{UNRESERVED}*$"
 VALID = r"^[A-Za-z][A-Za-z0-9+.\-]*:[^\x00-\x20<>\"{}|^`\\]*$"
 
 
-def normalized(col: Column, form: str) -> Column:
-    """Unicode normal form; only values that are not ASCII leave the JVM."""
+def normalized(col: Column, form: str | None) -> Column:
+    """Unicode normal form (None: values are known to be normal). Spark has no function for it: values go through Arrow."""
+    if form is None:
+        return col
 
     @F.pandas_udf("string")
     def apply(s: pd.Series) -> pd.Series:

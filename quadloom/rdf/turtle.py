@@ -26,14 +26,26 @@ TOKEN = re.compile(
     re.X | re.S,
 )
 ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))", re.S)
-PLAIN = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f"}
+PLAIN = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
 _fresh = itertools.count()
+# Common prefixes that documents may use without declaring them.
+COMMON = {
+    "rdf": RDF,
+    "rdfs": "http://www.w3.org/2000/01/rdf-schema#",
+    "owl": "http://www.w3.org/2002/07/owl#",
+    "xsd": XSD,
+    "foaf": "http://xmlns.com/foaf/0.1/",
+    "skos": "http://www.w3.org/2004/02/skos/core#",
+    "dc": "http://purl.org/dc/elements/1.1/",
+    "dcterms": "http://purl.org/dc/terms/",
+    "schema": "http://schema.org/",
+}
 
 
 def unescape(s: str) -> str:
     if "\\" not in s:
         return s
-    return ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else PLAIN.get(m[3], m[3]), s)
+    return ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else PLAIN.get(m[3], m[0]), s)
 
 
 def tokens(text: str) -> list[tuple[str, str]]:
@@ -51,7 +63,7 @@ def tokens(text: str) -> list[tuple[str, str]]:
 class _Parser:
     def __init__(self, text: str, base: str):
         self.tokens, self.at, self.base = tokens(text), 0, base
-        self.prefixes: dict[str, str] = {}
+        self.prefixes: dict[str, str] = dict(COMMON)
         self.graph = Graph()
         self.scope = next(_fresh)
 
