@@ -31,7 +31,7 @@ def test_query(spark, tmp_path, labels):
     rng = random.Random(2)
     good = lambda: " ".join(rng.choice(["the", "of", "and", "thing", "water"]) for _ in range(60))
     bad = lambda: "".join(rng.choice("#$%&*|@!") for _ in range(200))
-    rows = [(i, good()) for i in range(200)] + [(i, bad()) for i in range(200, 260)] + [(300, None), (301, ""), (None, good()), (5, good()), (302, good() * 300)]
+    rows = [(i, good()) for i in range(200)] + [(i, bad()) for i in range(200, 260)] + [(300, None), (301, ""), (None, good()), (5, good()), (302, good() + " " + good()), (303, bad() * 400)]
     spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, score string").write.parquet(f"{tmp_path}/documents.parquet")
     marked = [(i, int(i < 200), 0) for i in range(0, 260, 2)] * labels + [(None, 1, 0), (999, 1, 1)]
     spark.createDataFrame(marked, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -41,7 +41,7 @@ def test_query(spark, tmp_path, labels):
     if not labels:
         assert len([r for r in got if r.kept]) == len(rows)
         return
-    assert not kept & set(range(200, 260)) and not kept & {300, 301} and len(kept & set(range(200))) > 180 and 302 in kept
+    assert not kept & set(range(200, 260)) and not kept & {300, 301, 303} and len(kept & set(range(200))) > 180 and 302 in kept
     cut = min(r.score for r in got if r.kept)
     assert all(r.kept == (r.score >= cut) for r in got)
 
