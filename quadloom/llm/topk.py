@@ -41,17 +41,26 @@ def best_of_block(q, q_len, c, c_len, c_ids, own, k):
     asked[np.arange(depth) < q_len[:, None]] = q
     bound = int(np.abs(dense).max(initial=0)) * int(np.abs(asked).max(initial=0)) * max(1, depth)
     kind = np.int32 if bound < 2**31 else np.int64
-    postings = [(np.flatnonzero(dense[:, t]), dense[np.flatnonzero(dense[:, t]), t].astype(kind)) for t in range(depth)]
+    postings = []  # of each term: the candidates that have it (None: so many that the weights of all are kept) and weights
+    for t in range(depth):
+        ids = np.flatnonzero(dense[:, t])
+        full = 4 * len(ids) > n
+        postings.append((None if full else ids, np.ascontiguousarray(dense[:, t] if full else dense[ids, t]).astype(kind)))
     rows, found, scores = [], [], []
     for at in range(0, m, ROWS):
         part = asked[at : at + ROWS]
         acc = np.zeros((len(part), n), kind)
         for t, (ids, weights) in enumerate(postings):
-            for r in np.flatnonzero(part[:, t]):
-                if len(ids) == n:
-                    acc[r] += part[r, t].astype(kind) * weights
-                else:
-                    acc[r, ids] += part[r, t].astype(kind) * weights
+            has = np.flatnonzero(part[:, t])
+            if not len(has) or not len(weights):
+                continue
+            added = np.multiply.outer(part[has, t].astype(kind), weights)
+            if ids is not None:
+                acc[np.ix_(has, ids)] += added
+            elif len(has) == len(part):
+                acc += added
+            else:
+                acc[has] += added
         acc = acc.astype(np.int64)
         key = acc * n + (n - 1 - np.arange(n))
         hide = own[at : at + ROWS]
