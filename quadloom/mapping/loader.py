@@ -7,7 +7,7 @@ from collections.abc import Iterable
 
 from quadloom.errors import MappingError
 from quadloom.mapping.model import ExpressionMap, JoinCondition, LogicalSource, ObjectMap, PredicateObjectMap, RefObjectMap, Source, SubjectMap, TriplesMap
-from quadloom.rdf.terms import CARML, FNML, IRI, RML, RR, BNode, Graph, Literal
+from quadloom.rdf.terms import EXT, FNML, IRI, RML, RR, BNode, Graph, Literal
 from quadloom.rdf.turtle import parse
 
 TERM_TYPES = {RR + "IRI": "iri", RR + "BlankNode": "bnode", RR + "Literal": "literal"}
@@ -75,9 +75,9 @@ class _Loader:
         if isinstance(node, Literal):
             return Source(path=node.value)
         types = {t.value for t in self.many(node, "http://www.w3.org/1999/02/22-rdf-syntax-ns#type")}
-        name, url = self.text(node, CARML + "streamName"), self.text(node, CARML + "url")
-        spaces = tuple(sorted((self.text(n, CARML + "namespacePrefix") or "", self.text(n, CARML + "namespaceName") or "") for n in self.many(node, CARML + "declaresNamespace")))
-        if not types & {CARML + "Stream", CARML + "FileSource", CARML + "XmlDocument"} and name is None and url is None and not spaces:
+        name, url = self.text(node, EXT + "streamName"), self.text(node, EXT + "url")
+        spaces = tuple(sorted((self.text(n, EXT + "namespacePrefix") or "", self.text(n, EXT + "namespaceName") or "") for n in self.many(node, EXT + "declaresNamespace")))
+        if not types & {EXT + "Stream", EXT + "FileSource", EXT + "XmlDocument"} and name is None and url is None and not spaces:
             if isinstance(node, IRI):
                 return Source(path=node.value)
             raise MappingError(f"the source {node} is of no known type")
@@ -87,12 +87,12 @@ class _Loader:
         term_type = self.one(node, RR + "termType")
         if term_type is not None and getattr(term_type, "value", None) not in TERM_TYPES:
             raise MappingError(f"{term_type} of {node} is no term type")
-        function = self.one(node, FNML + "functionValue", CARML + "multiFunctionValue")
+        function = self.one(node, FNML + "functionValue", EXT + "multiFunctionValue")
         return cls(
             str(node),
             constant=self.one(node, RR + "constant"),
-            reference=self.text(node, RML + "reference", CARML + "multiReference"),
-            template=self.text(node, RR + "template", CARML + "multiTemplate"),
+            reference=self.text(node, RML + "reference", EXT + "multiReference"),
+            template=self.text(node, RR + "template", EXT + "multiTemplate"),
             function=None if function is None else self.triples_map(function),
             term_type=None if term_type is None else TERM_TYPES[term_type.value],
             **more,
@@ -116,7 +116,7 @@ class _Loader:
 
     def object_map(self, node) -> ObjectMap | RefObjectMap:
         if (parent := self.one(node, RR + "parentTriplesMap")) is not None:
-            joins = [JoinCondition(self.text(n, RR + "child") or "", self.text(n, RR + "parent") or "") for n in self.many(node, RR + "joinCondition", CARML + "multiJoinCondition")]
+            joins = [JoinCondition(self.text(n, RR + "child") or "", self.text(n, RR + "parent") or "") for n in self.many(node, RR + "joinCondition", EXT + "multiJoinCondition")]
             if any(not j.child or not j.parent for j in joins):
                 raise MappingError(f"a join condition of {node} lacks its child or parent")
             return RefObjectMap(str(node), self.triples_map(parent), joins)
@@ -131,7 +131,7 @@ class _Loader:
 
 def to_turtle(maps: Iterable[TriplesMap]) -> str:
     """The mapping as Turtle; loading it gives an equal mapping."""
-    lines: list[str] = [f"@prefix rr: <{RR}> .", f"@prefix rml: <{RML}> .", f"@prefix fnml: <{FNML}> .", f"@prefix carml: <{CARML}> .", f"@prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> ."]
+    lines: list[str] = [f"@prefix rr: <{RR}> .", f"@prefix rml: <{RML}> .", f"@prefix fnml: <{FNML}> .", f"@prefix ext: <{EXT}> .", f"@prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> ."]
     names: dict[str, str] = {}
     todo: list[TriplesMap] = []
 
@@ -173,10 +173,10 @@ def to_turtle(maps: Iterable[TriplesMap]) -> str:
         if s.source is not None:
             src = s.source
             if src.is_stream or src.namespaces or src.stream:
-                kinds = ["a carml:Stream" if src.is_stream else "a carml:FileSource"]
-                kinds += [f"carml:streamName {string(src.stream)}"] if src.stream else []
-                kinds += [f"carml:url {string(src.path)}"] if src.path else []
-                kinds += [f"carml:declaresNamespace [ carml:namespacePrefix {string(a)} ; carml:namespaceName {string(b)} ]" for a, b in src.namespaces]
+                kinds = ["a ext:Stream" if src.is_stream else "a ext:FileSource"]
+                kinds += [f"ext:streamName {string(src.stream)}"] if src.stream else []
+                kinds += [f"ext:url {string(src.path)}"] if src.path else []
+                kinds += [f"ext:declaresNamespace [ ext:namespacePrefix {string(a)} ; ext:namespaceName {string(b)} ]" for a, b in src.namespaces]
                 parts.append("rml:source [ " + " ; ".join(kinds) + " ]")
             else:
                 parts.append(f"rml:source {string(src.path or '')}")

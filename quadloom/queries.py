@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quadloom.functions import fno_function, strings
 from quadloom.mapper import Mapper
 from quadloom.rdf.nquads import to_nquads, with_default_graph
+from quadloom.rdf.terms import EXT
 from quadloom.sources import TABLE, tables_resolver
 
 EX = "http://example.com/"
@@ -18,7 +19,7 @@ HEAD = f"""@prefix rr: <http://www.w3.org/ns/r2rml#> .
 @prefix ql: <http://semweb.mmlab.be/ns/ql#> .
 @prefix fnml: <http://semweb.mmlab.be/ns/fnml#> .
 @prefix fno: <https://w3id.org/function/ontology#> .
-@prefix stream: <http://carml.taxonic.com/carml/> .
+@prefix stream: <{EXT}> .
 @prefix xsd: <http://www.w3.org/2001/XMLSchema#> .
 @prefix f: <{strings.EX}> .
 @prefix ex: <{EX}> .

@@ -40,7 +40,7 @@ QL = "http://semweb.mmlab.be/ns/ql#"
 FNML = "http://semweb.mmlab.be/ns/fnml#"
 FNO = "https://w3id.org/function/ontology#"
 OLD_FNO = "http://semweb.datasciencelab.be/ns/function#"
-CARML = "http://carml.taxonic.com/carml/"
+EXT = "http://carml.taxonic.com/carml/"
 RDF_TYPE = RDF + "type"
 
 

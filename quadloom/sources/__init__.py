@@ -4,7 +4,6 @@
 array<string> of a reference's values in a record (`one(reference)`, where a record has one value at most).
 """
 
-import csv
 import os
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
