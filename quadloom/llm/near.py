@@ -2,10 +2,11 @@
 
 1. Of each document: the set of its word shingles (64-bit hashes), a 128-bit mark of the set, and REPEATS x DEPTH
    minwise tokens and a sketch of 128 bits. Equal sets collapse to their smallest id at once.
+   The odd sketch (parities of the set's elements by hash) bounds how many elements differ, and loses no pair.
 2. Trees: at the root a document goes to one node for each of REPEATS minwise tokens. Nodes with few documents are
    compared exhaustively by sketch and size; the others branch by the next minwise token, to DEPTH. What is still large
-   there holds near-equal documents: its members are compared with a leader, and those unlike the leader with all
-   members, so nothing is capped.
+   there holds near-equal documents: its members are compared with two leaders, and those that do not come into the
+   leader's group with all members of other groups, so nothing is capped.
 3. Candidate links are confirmed on whole sets, in rounds: first a link or two of each document, then what still joins
    different groups. Groups are connected components, found by iterated joins.
 
@@ -32,6 +33,8 @@ REPEATS, DEPTH = 20, 4
 SMALL = 24
 #: Of the 128 sketch bits a pair at similarity s agrees on (1 + s) / 2 in the mean; this many standard deviations are allowed.
 SIGMAS = 4.3
+#: Bits of the odd sketch: the parity of a set's elements by hash.
+ODD = 1024
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -76,7 +79,8 @@ def _known(cache: dict[bytes, int]) -> dict[bytes, int]:
 
 
 def profiles(df: DataFrame, keep, text: str, width: int) -> DataFrame:
-    """`keep`, n (set size), mark (128 bits of the set), a and b (64-bit halves of the sketch), tokens (minwise)."""
+    """`keep`, n (set size), mark (128 bits of the set), a and b (64-bit halves of the sketch), tokens
+    (minwise), odd (the odd sketch)."""
     rng = np.random.default_rng(5)
     n_tokens = REPEATS * DEPTH
     seeds = rng.integers(1, 2**63, n_tokens + 128, dtype=np.uint64) | np.uint64(1)
@@ -84,7 +88,7 @@ def profiles(df: DataFrame, keep, text: str, width: int) -> DataFrame:
 
     def fn(texts):
         known = _known(cache)
-        n, marks, first, second, tokens = [], [], [], [], []
+        n, marks, first, second, tokens, odd = [], [], [], [], [], []
         for t in texts:
             s = shingles(t or "", known, width)
             n.append(len(s))
@@ -93,6 +97,7 @@ def profiles(df: DataFrame, keep, text: str, width: int) -> DataFrame:
                 first.append(0)
                 second.append(0)
                 tokens.append([])
+                odd.append([])
                 continue
             marks.append(mark(s))
             low = np.full(len(seeds), np.iinfo(np.uint64).max, np.uint64)
@@ -102,14 +107,17 @@ def profiles(df: DataFrame, keep, text: str, width: int) -> DataFrame:
                     x ^= x >> np.uint64(32)
                     x *= MIX
                     np.minimum(low, x.min(1), out=low)
-            bits = (mix(low[n_tokens:]) & np.uint64(1)).astype(np.uint8)
+            mixed = mix(low)
+            bits = (mixed[n_tokens:] & np.uint64(1)).astype(np.uint8)
+            parity = (np.bincount((s >> np.uint64(7)).astype(np.int64) & (ODD - 1), minlength=ODD) & 1).astype(np.uint8)
+            odd.append(np.packbits(parity).view("<i8").tolist())
             halves = np.packbits(bits).view("<i8")
             first.append(int(halves[0]))
             second.append(int(halves[1]))
-            tokens.append(mix(low[:n_tokens]).view(np.int64).tolist())
-        return [n, marks, first, second, tokens]
+            tokens.append(mixed[:n_tokens].view(np.int64).tolist())
+        return [n, marks, first, second, tokens, odd]
 
-    return map_text(df, keep, text, "n long, mark binary, a long, b long, tokens array<long>", fn)
+    return map_text(df, keep, text, "n long, mark binary, a long, b long, tokens array<long>, odd array<long>", fn)
 
 
 def alike(x: str, y: str, percent: int) -> F.Column:
@@ -121,6 +129,23 @@ def alike(x: str, y: str, percent: int) -> F.Column:
     return (100 * F.least(F.col(f"{x}.n"), F.col(f"{y}.n")) >= percent * F.greatest(F.col(f"{x}.n"), F.col(f"{y}.n"))) & (differ <= int(apart))
 
 
+def near_enough(x: F.Column, y: F.Column, n: F.Column, percent: int) -> F.Column:
+    """Odd sketches x and y do not rule the similarity out. Bits that differ are no more than the elements that one set
+    only has, so no pair is lost. n: elements of both."""
+    differ = F.lit(0)
+    for i in range(1, ODD // 64 + 1):
+        differ = differ + F.bit_count(F.element_at(x, i).bitwiseXOR(F.element_at(y, i)))
+    return (100 + percent) * differ <= (100 - percent) * n
+
+
+def alike_odd(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (x, y) whose odd sketches allow the similarity."""
+    both = pairs
+    for c in ("x", "y"):
+        both = both.join(reps.select(F.col("id").alias(c), F.col("odd").alias(f"o{c}"), F.col("n").alias(f"n{c}")), c)
+    return both.where(near_enough(F.col("ox"), F.col("oy"), F.col("nx") + F.col("ny"), percent)).select("x", "y")
+
+
 def trees(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """x < y: pairs that small nodes hold and sketches allow; and what the largest nodes hold (node, id, n, a, b).
     sets: id, n, a, b, tokens."""
@@ -192,14 +217,17 @@ def near_duplicates(df: DataFrame, id_: str = "doc_id", text: str = "text", widt
     made = staged(profiles(docs, ["id"], "text", width))
     # equal sets are one node, known by the mark of the set
     some = made.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    reps = staged(some.groupBy(F.col("mark").alias("id")).agg(F.min("id").alias("rep"), F.any_value(F.struct("n", "a", "b", "tokens")).alias("p")).select("id", "rep", "p.*"))
+    reps = staged(some.groupBy(F.col("mark").alias("id")).agg(F.min("id").alias("rep"), F.any_value(F.struct("n", "a", "b", "tokens", "odd")).alias("p")).select("id", "rep", "p.*"))
     pairs, large = trees(reps, percent)
     brief = ["id", "n", "a", "b"]
     large = staged(large)
-    lead = staged(large.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "id").alias("h"), *brief)).alias("l")).select("node", *[F.col(f"l.{c}").alias(c) for c in brief]))
+    # the members of large nodes are compared with two leaders
+    chosen = F.struct(F.xxhash64("node", "id").alias("h"), *brief)
+    both = large.groupBy("node").agg(F.array(F.min(chosen), F.max(chosen)).alias("l"))
+    lead = staged(both.select("node", F.posexplode("l").alias("k", "l")).select("node", "k", *[F.col(f"l.{c}").alias(c) for c in brief]))
     ordered = [F.least("x.id", "y.id").alias("x"), F.greatest("x.id", "y.id").alias("y")]
     stars = large.alias("x").join(lead.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.id") != F.col("y.id")) & alike("x", "y", percent)).select(*ordered)
-    links = staged(pairs.union(stars).distinct())
+    links = staged(alike_odd(pairs.union(stars).distinct(), reps, percent))
     hooks = links.groupBy("y").agg(F.min("x").alias("x")).select("x", "y").union(links.groupBy("x").agg(F.max("y").alias("y")).select("x", "y")).distinct()
     sure = confirm(hooks, docs, reps, width, percent)
     roots = components(sure)
@@ -209,10 +237,14 @@ def near_duplicates(df: DataFrame, id_: str = "doc_id", text: str = "text", widt
         roots = components(sure)
     # members of large nodes that have not joined their leader's group are held against all members of other groups
     if large.take(1):
-        rooted = staged(large.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
-        leader = staged(lead.select("node", "id").join(roots, "id", "left").select("node", F.coalesce("root", "id").alias("main")))
+        nodes = staged(large.groupBy("id").agg(F.sort_array(F.collect_set("node")).alias("nodes")))
+        rooted = large.join(nodes, "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        rooted = staged(rooted.join(reps.select("id", "odd"), "id"))
+        leader = staged(lead.where("k = 0").select("node", "id").join(roots, "id", "left").select("node", F.coalesce("root", "id").alias("main")))
         odd = staged(rooted.join(leader, "node").where("root != main").drop("main"))
-        rest = odd.alias("x").join(rooted.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & alike("x", "y", percent)).select(*ordered).distinct()
+        # a pair is taken in the first node that both have
+        here = F.element_at(F.array_intersect("x.nodes", "y.nodes"), 1) == F.col("x.node")
+        rest = odd.alias("x").join(rooted.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & alike("x", "y", percent) & near_enough(F.col("x.odd"), F.col("y.odd"), F.col("x.n") + F.col("y.n"), percent) & here).select(*ordered).distinct()
         more = confirm(rest, docs, reps, width, percent)
         if more.take(1):
             roots = components(staged(sure.union(more)))
