@@ -107,6 +107,8 @@ def common(ids, ends, sa, within: bool = True) -> np.ndarray:
     # (the texts do not change on the way either, lest a shared part end with its text)
     along = np.r_[False, has[1:] & has[:-1] & (before[1:] == before[:-1] + 1) & (ends[1:] == ends[:-1])]
     along[1:] &= ends[before[1:]] == ends[before[:-1]]
+    # (and the place p-1 shares its first word at least: neighbours that share nothing say nothing of those one further)
+    along[1:] &= ids[:-1] == ids[before[:-1]]
     heads = np.flatnonzero(has & ~along)
     a, b = heads, before[heads]
     most = np.minimum(ends[a] - a, ends[b] - b)

@@ -70,3 +70,9 @@ def test_query_edges(spark, tmp_path):
         assert not (r.kept and r.base_failed)
     assert {r.doc_id for r in got if r.kept} == {3, None}
     assert rep.rules(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_neighbours_that_share_nothing():
+    p, q = "p0 p1 p2 p3", "p4 p5 p6 p7 p8"
+    text = f"x2 {p} z2 x2 {p} z1 x1 {p} {q} z1 x1 {p} {q} z2 x1 {p} {q} z2 x1 {p} z2 x0 {p} {q} z1"
+    assert [c[0] for c in rep.measure([text], 8)] == brute(text, 8)

@@ -58,6 +58,22 @@ def test_suffix_array(length):
     assert first.tolist() == [k == 0 or windows[k - 1] != w for k, w in enumerate(windows)]
 
 
+def test_neighbours_that_share_nothing():
+    rng = random.Random(9)
+    shared = bytes(rng.choices(range(97, 123), k=600))
+    owner, offset, twice, _ = sub.repeated([b"item 7 " + shared, b"item 8 " + shared], 400)
+    assert sorted(zip(owner[twice].tolist(), offset[twice].tolist(), strict=True)) == [(o, x) for o in (0, 1) for x in range(6, 208)]
+    some = lambda k: bytes(rng.choices(range(256), k=k))
+    for _ in range(50):
+        parts = [some(60) for _ in range(3)]
+        segments = [some(rng.randint(1, 5)) + rng.choice(parts) + some(rng.randint(0, 5)) for _ in range(8)]
+        owner, offset, twice, first = sub.repeated(segments, 20)
+        windows = [segments[o][x : x + 20] for o, x in zip(owner, offset, strict=True)]
+        times = Counter(windows)
+        assert twice.tolist() == [times[w] > 1 for w in windows]
+        assert first.tolist() == [k == 0 or windows[k - 1] != w for k, w in enumerate(windows)]
+
+
 def test_query(spark, tmp_path):
     rng = random.Random(3)
     prose = lambda n: "".join(rng.choices("abcdefgh ", k=n))
