@@ -22,9 +22,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity 0.8): that of the smallest id, once."""
-    found = near.near_duplicates(docs, width=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(found.kept_id), "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    """One row of each group of near-duplicates (five words, similarity 0.8), with the smallest id; rows without an id or
+    without words stay."""
+    return near.one_of_each(docs, width=5, percent=80).select(COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -185,7 +185,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of pairs (x, y: marks) whose whole sets are similar enough. docs: id, text; reps: id (mark), rep (doc id)."""
+    """Those of pairs (x, y: marks) whose whole sets are similar enough. docs: id, text; reps: id (mark), rep (a struct
+    with the doc id)."""
     cache: dict[bytes, int] = {}
 
     def fn(texts):
@@ -194,7 +195,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, perc
 
     pairs = staged(pairs)
     ids = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
-    some = docs.join(reps.join(ids, "id", "left_semi").select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    some = docs.join(reps.join(ids, "id", "left_semi").select(F.col("rep.id").alias("id")).distinct(), "id", "left_semi")
     sets = staged(map_text(some, [], "text", "id binary, s array<long>", fn).dropDuplicates(["id"]))
     both = pairs.join(sets.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y")
     shared = F.size(F.array_intersect("sx", "sy")).cast("long")
@@ -211,13 +212,14 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where(end("x") != end("y")).select("x", "y")
 
 
-def near_duplicates(df: DataFrame, id_: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
-    """`id_`, n_shingles, component_id (the smallest id that links reach) and kept, a row for each row of df."""
-    docs = df.select(F.col(id_).alias("id"), df[text].cast("string").alias("text"))
-    made = staged(profiles(docs, ["id"], "text", width))
+def grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """docs: id, text, and what else tells its rows apart. Of each row: id, the other columns, n and mark; and of each set:
+    id (its mark), rep (struct of the least id and the other columns) and root (one mark for each component)."""
+    own = [c for c in docs.columns if c != "text"]
+    made = staged(profiles(docs, own, "text", width))
     # equal sets are one node, known by the mark of the set
     some = made.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    reps = staged(some.groupBy(F.col("mark").alias("id")).agg(F.min("id").alias("rep"), F.any_value(F.struct("n", "a", "b", "tokens", "odd")).alias("p")).select("id", "rep", "p.*"))
+    reps = staged(some.groupBy(F.col("mark").alias("id")).agg(F.min(F.struct(*own)).alias("rep"), F.any_value(F.struct("n", "a", "b", "tokens", "odd")).alias("p")).select("id", "rep", "p.*"))
     pairs, large = trees(reps, percent)
     brief = ["id", "n", "a", "b"]
     large = staged(large)
@@ -248,8 +250,27 @@ def near_duplicates(df: DataFrame, id_: str = "doc_id", text: str = "text", widt
         more = confirm(rest, docs, reps, width, percent)
         if more.take(1):
             roots = components(staged(sure.union(more)))
+    return made, reps.select("id", "rep").join(roots, "id", "left").select("id", "rep", F.coalesce("root", "id").alias("root"))
+
+
+def one_of_each(df: DataFrame, id_: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
+    """Rows of df: one of each component, with its smallest id (and of that id's texts there, the one of the least MD5), and
+    all that take no part in links."""
+    words = df[text].cast("string").rlike(r"[^ \t\n\x0b\f\r]")
+    linked = df[id_].isNotNull() & F.coalesce(words, F.lit(False))
+    # rows are told apart by id and text, as an id may be repeated with another text
+    some = df.where(linked).withColumn("__h", F.unhex(F.md5(df[text].cast("string"))))
+    _, named = grouped(some.select(F.col(id_).alias("id"), F.col("__h").alias("h"), F.col(text).cast("string").alias("text")), width, percent)
+    chosen = named.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.id").alias("__id"), F.col("rep.h").alias("__key"))
+    one = some.join(chosen, (F.col(id_) == F.col("__id")) & (F.col("__h") == F.col("__key")), "left_semi").dropDuplicates([id_, "__h"])
+    return df.where(~linked).unionByName(one.drop("__h"))
+
+
+def near_duplicates(df: DataFrame, id_: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
+    """`id_`, n_shingles, component_id (the smallest id that links reach) and kept, a row for each row of df."""
+    made, named = grouped(df.select(F.col(id_).alias("id"), df[text].cast("string").alias("text")), width, percent)
     # of each group of sets, the smallest document id
-    named = reps.select("id", "rep").join(roots, "id", "left").select("id", "rep", F.coalesce("root", "id").alias("root"))
+    named = named.select("id", "rep.id", "root").toDF("id", "rep", "root")
     smallest = staged(named.groupBy("root").agg(F.min("rep").alias("component")))
     named = staged(named.join(smallest, "root").select(F.col("id").alias("mark"), "component"))
     rows = made.select("id", "n", "mark").join(named, "mark", "left")

@@ -51,6 +51,19 @@ def test_stages(spark):
         assert (r.n_tokens, r.ids_sha256) == (len(ids) // 4, hashlib.sha256(ids).hexdigest())
 
 
+def test_near_duplicates_by_row(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, text(0)), (None, text(1)), (None, text(1)), (None, text(2)), (None, None), (None, "")]  # nothing links these
+    rows += [(1, text(3)), (2, text(3)), (2, text(4)), (3, text(4) + " more"), (4, text(5)), (4, text(6)), (5, text(7)), (5, text(7))]
+    rows += [(6, text(8)), (6, text(8) + " end"), (7, text(2)), (8, None), (8, ""), (9, " \t\n"), (9, "\x85")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    got = Counter((r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, "").collect())
+    six = [k for k in got if k[0] == 6]
+    assert len(six) == 1 and got.pop(six[0]) == 1 and six[0] in rows
+    gone = [(2, text(3)), (3, text(4) + " more"), (5, text(7)), (6, text(8)), (6, text(8) + " end")]
+    assert got == Counter(rows) - Counter(gone)
+
+
 def test_run(spark, tmp_path):
     spark.createDataFrame([(1, "the thing and the other", "en", "s", 1), (2, None, None, None, None)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert [r.doc_id for r in cp.run(spark, str(tmp_path)).collect()] == [1]
