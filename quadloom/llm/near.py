@@ -1,17 +1,18 @@
 """MinHash near-duplicates by a chosen-path set similarity join, confirmed on whole sets.
 
-1. Of each document: the set of its word shingles (64-bit hashes), a 128-bit mark of the set, and REPEATS x DEPTH
-   minwise tokens and a sketch of 128 bits. Equal sets collapse to their smallest id at once.
-   The odd sketch (parities of the set's elements by hash) bounds how many elements differ, and loses no pair.
+1. Of each document: the set of its word shingles (64-bit hashes), a 128-bit mark of the set, REPEATS x DEPTH minwise
+   tokens and an odd sketch. Equal sets collapse to their smallest id at once.
+   The odd sketch (parities of the set's elements by hash) bounds how many elements differ, and loses no pair, neither
+   whole nor folded to 128 bits.
 2. Trees: at the root a document goes to one node for each of REPEATS minwise tokens. Nodes with few documents are
-   compared exhaustively by sketch and size; the others branch by the next minwise token, to DEPTH. What is still large
+   compared exhaustively by folded sketch and size; the others branch by the next minwise token, to DEPTH. What is still large
    there holds near-equal documents: its members are compared with two leaders, and those that do not come into the
    leader's group with all members of other groups, so nothing is capped.
 3. Candidate links are confirmed on whole sets, in rounds: first a link or two of each document, then what still joins
    different groups. Groups are connected components, found by iterated joins.
 
 A pair at the threshold is missed by a tree with probability 1 - s^DEPTH at most, so by all trees with (1 - s^DEPTH)^
-REPEATS; small nodes that stop early only lower it. The sketch rejects such a pair with probability below 1e-5.
+REPEATS (4e-7 at 0.85, 2.6e-5 at 0.80); small nodes that stop early only lower it. Nothing else loses a pair.
 
 Defined cases: null and empty texts have empty sets, are linked with nothing and are kept; rows
 that repeat an id are documents of their own; texts with fewer words than a shingle have one shingle of all their words;
@@ -31,8 +32,6 @@ from quadloom.llm.common import documents, map_text, staged
 REPEATS, DEPTH = 20, 4
 #: Nodes of at most so many documents are compared pair by pair.
 SMALL = 24
-#: Of the 128 sketch bits a pair at similarity s agrees on (1 + s) / 2 in the mean; this many standard deviations are allowed.
-SIGMAS = 4.3
 #: Bits of the odd sketch: the parity of a set's elements by hash.
 ODD = 1024
 
@@ -79,11 +78,11 @@ def _known(cache: dict[bytes, int]) -> dict[bytes, int]:
 
 
 def profiles(df: DataFrame, keep, text: str, width: int) -> DataFrame:
-    """`keep`, n (set size), mark (128 bits of the set), a and b (64-bit halves of the sketch), tokens
+    """`keep`, n (set size), mark (128 bits of the set), a and b (64-bit halves of the folded odd sketch), tokens
     (minwise), odd (the odd sketch)."""
     rng = np.random.default_rng(5)
     n_tokens = REPEATS * DEPTH
-    seeds = rng.integers(1, 2**63, n_tokens + 128, dtype=np.uint64) | np.uint64(1)
+    seeds = rng.integers(1, 2**63, n_tokens, dtype=np.uint64) | np.uint64(1)
     cache: dict[bytes, int] = {}
 
     def fn(texts):
@@ -108,25 +107,22 @@ def profiles(df: DataFrame, keep, text: str, width: int) -> DataFrame:
                     x *= MIX
                     np.minimum(low, x.min(1), out=low)
             mixed = mix(low)
-            bits = (mixed[n_tokens:] & np.uint64(1)).astype(np.uint8)
             parity = (np.bincount((s >> np.uint64(7)).astype(np.int64) & (ODD - 1), minlength=ODD) & 1).astype(np.uint8)
             odd.append(np.packbits(parity).view("<i8").tolist())
-            halves = np.packbits(bits).view("<i8")
+            halves = np.packbits(np.bitwise_xor.reduce(parity.reshape(-1, 128), 0)).view("<i8")
             first.append(int(halves[0]))
             second.append(int(halves[1]))
-            tokens.append(mixed[:n_tokens].view(np.int64).tolist())
+            tokens.append(mixed.view(np.int64).tolist())
         return [n, marks, first, second, tokens, odd]
 
     return map_text(df, keep, text, "n long, mark binary, a long, b long, tokens array<long>, odd array<long>", fn)
 
 
 def alike(x: str, y: str, percent: int) -> F.Column:
-    """Sizes and sketches allow the similarity."""
-    s = percent / 100
-    p = (1 + s) / 2
-    apart = 128 * (1 - p) + SIGMAS * (128 * p * (1 - p)) ** 0.5
+    """Sizes and folded odd sketches allow the similarity. Loses no pair (see near_enough)."""
+    n = F.col(f"{x}.n") + F.col(f"{y}.n")
     differ = F.bit_count(F.col(f"{x}.a").bitwiseXOR(F.col(f"{y}.a"))) + F.bit_count(F.col(f"{x}.b").bitwiseXOR(F.col(f"{y}.b")))
-    return (100 * F.least(F.col(f"{x}.n"), F.col(f"{y}.n")) >= percent * F.greatest(F.col(f"{x}.n"), F.col(f"{y}.n"))) & (differ <= int(apart))
+    return (100 * F.least(F.col(f"{x}.n"), F.col(f"{y}.n")) >= percent * F.greatest(F.col(f"{x}.n"), F.col(f"{y}.n"))) & ((100 + percent) * differ <= (100 - percent) * n)
 
 
 def near_enough(x: F.Column, y: F.Column, n: F.Column, percent: int) -> F.Column:

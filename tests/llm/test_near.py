@@ -65,3 +65,14 @@ def test_empty(spark):
 def test_chain_of_links(spark):
     ids = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "x long, y long")
     assert {tuple(r) for r in near.components(ids).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
+
+
+def test_pairs_at_the_threshold(spark):
+    # 17 of 20 shingles are shared; a sampled sketch of 128 bits held these pairs for less alike than 0.85
+    rows = []
+    for k in (5758, 7116, 9294, 33125, 56282, 60462, 66282, 67617):
+        w = [f"w{k}x{i}" for i in range(22)]
+        rows += [(2 * k, " ".join(w[:20])), (2 * k + 1, " ".join(w[:19] + w[20:]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in near.near_duplicates(df).collect()), key=str)
+    assert got == brute(rows) and sum(r[3] for r in got) == 8
