@@ -1,5 +1,6 @@
 """IRIs as column expressions."""
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -15,6 +16,8 @@ UNRESERVED = (
     r"\x{B0000}-\x{BFFFD}\x{C0000}-\x{CFFFD}\x{D0000}-\x{DFFFD}\x{E1000}-\x{EFFFD}]"
 )
 SAFE = rf"^{UNRESERVED}*$"
+#: Signs that no IRI has.
+ODD = "[\\x00-\\x20<>\"{}|^`\\\\]"
 VALID = r"^[A-Za-z][A-Za-z0-9+.\-]*:[^\x00-\x20<>\"{}|^`\\]*$"
 
 
@@ -42,6 +45,19 @@ def iri_safe(col: Column, upper: bool = True) -> Column:
     return F.when(col.rlike(SAFE), col).otherwise(F.array_join(F.transform(chars, one), ""))
 
 
+def known_valid(parts: list[tuple[str, str]], base: str) -> str | None:
+    """What to put before a template of escaped values so that it is a valid IRI whatever the values are ("" or the base);
+    nothing if that hangs on the values."""
+    if any(k == "text" and re.search(ODD, v) for k, v in parts):
+        return None
+    if parts[0][0] == "text" and re.match(r"[A-Za-z][A-Za-z0-9+.\-]*:", parts[0][1]):
+        return ""
+    # escaped values have no colon, so without one in the text it is relative
+    if any(k == "text" and ":" in v for k, v in parts) or not re.match(VALID, base):
+        return None
+    return base
+
+
 def valid_iri(col: Column) -> Column:
     return col.rlike(VALID)
 

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from quadloom.errors import MappingError
 from quadloom.functions import Registry
 from quadloom.mapping.loader import load_mapping
-from quadloom.mapping.model import LogicalSource, TriplesMap, mappable, references
+from quadloom.mapping.model import LogicalSource, RefObjectMap, TriplesMap, mappable, texts_read
 from quadloom.plans.terms import Compiler, Options
 from quadloom.plans.triples import COLUMNS, MapPlan, branches, fused, joined
 from quadloom.rdf.terms import QL
-from quadloom.sources import FORMULATIONS, Records, file_resolver, first_of
+from quadloom.sources import FORMULATIONS, Records, check_iterator, file_resolver, first_of
 
 #: The name under which the unnamed stream is given.
 DEFAULT_STREAM = "DEFAULT"
@@ -28,12 +28,14 @@ class Mapper:
     mapping: triples maps, or anything `load_mapping` takes. base_iri: put before values that are no IRIs themselves.
     resolvers: callables from a source's path to a path or DataFrame, asked in turn (default: files below the working
     folder). functions: marked functions, or objects that hold some. formulations: more reference formulations by IRI.
-    normalization: Unicode form in IRIs (None: sources are known to be in it, and plans stay free of Python). on_error: "fail", or "skip" to leave out terms that are no valid IRIs.
-    layout: "fused", "union", or None to choose (union where predicates are filtered). options: of sources
-    (`lines`: JSON lines, `text_extraction`: False gives XML nodes as XML).
+    normalization: Unicode form in IRIs (None: sources are known to be in it, and plans stay free of Python). on_error: "fail",
+    or "skip" to leave out terms that are no valid IRIs. validate: texts of literals must be texts of their XSD type.
+    layout: "fused", "union", or None to choose (union where predicates are filtered). options: of sources (`lines`: JSON
+    lines; `multiline`: whether CSV files have line breaks in quotes and so cannot be split, None to look; `text_extraction`:
+    False gives XML nodes as XML). compiler: a subclass of Compiler that makes terms in its own way.
     """
 
-    def __init__(self, mapping, *, spark: SparkSession | None = None, base_iri: str = Options.base_iri, resolvers: Iterable[Callable] | None = None, functions: Iterable = (), formulations: Mapping[str, Callable] | None = None, normalization: str | None = "NFC", upper_percent: bool = True, on_error: str = "fail", validate: bool = False, layout: str | None = None, options: dict | None = None):
+    def __init__(self, mapping, *, spark: SparkSession | None = None, base_iri: str = Options.base_iri, resolvers: Iterable[Callable] | None = None, functions: Iterable = (), formulations: Mapping[str, Callable] | None = None, normalization: str | None = "NFC", upper_percent: bool = True, on_error: str = "fail", validate: bool = False, layout: str | None = None, options: dict | None = None, compiler: type[Compiler] = Compiler):
         maps = mapping if isinstance(mapping, list) else load_mapping(mapping)
         if normalization not in (None, "NFC", "NFD", "NFKC", "NFKD") or on_error not in ("fail", "skip") or layout not in (None, "fused", "union"):
             raise MappingError("an option of the mapper has an unknown value")
@@ -46,7 +48,7 @@ class Mapper:
         self.resolve = first_of(resolvers if resolvers is not None else [file_resolver(os.getcwd())])
         self.functions = Registry(functions)
         self.formulations = {**FORMULATIONS, **(formulations or {})}
-        self.layout, self.source_options = layout, options or {}
+        self.layout, self.source_options, self.compiler = layout, options or {}, compiler
         self._validate()
 
     def _validate(self) -> None:
@@ -55,6 +57,7 @@ class Mapper:
             if m.source is None or m.source.source is None:
                 raise MappingError(f"{m} has no logical source with a source")
             self._formulation(m.source)
+            check_iterator(m.source)
             for pom in m.poms:
                 if not pom.predicates or not pom.objects:
                     raise MappingError(f"a predicate-object map of {m} lacks predicates or objects")
@@ -63,14 +66,14 @@ class Mapper:
             if m.source.formulation == QL + "CSV" and csv.setdefault(m.source.source, m.source) != m.source:
                 raise MappingError(f"the CSV source {m.source.source.path} has several logical sources")
 
-        none = lambda ref: F.array().cast("array<string>")
-        dry = Compiler(Records(self.spark.range(0).toDF("id"), none), self.functions, self.options)
+        text = F.col("id").cast("string")
+        dry = self.compiler(Records(self.spark.range(0), lambda ref: F.array(text), lambda ref: text, lambda ref: True, lambda ref: True), self.functions, self.options)
         for m in self.triples_maps:
             MapPlan(m, dry, lambda parent, m=m: parent.source == m.source).plan()
-        _, parents = references(self.triples_maps)
-        for m in self.all_maps:
-            if m.id in parents and (m.source is None or m.source.source is None):
-                raise MappingError(f"{m} is a parent and has no logical source")
+        for m in self.triples_maps:
+            for o in (o for pom in m.poms for o in pom.objects if isinstance(o, RefObjectMap)):
+                if o.parent.source is None or o.parent.source.source is None:
+                    raise MappingError(f"{o.parent} is a parent and has no logical source")
 
     def register_formulation(self, iri: str, reader: Callable) -> None:
         self.formulations[iri] = reader
@@ -82,8 +85,9 @@ class Mapper:
 
     def _records(self, logical: LogicalSource, streams: Mapping[str, DataFrame], provided: DataFrame | None) -> Records:
         read = self._formulation(logical)
+        options = self.source_options | {"references": texts_read(self.triples_maps, logical)}
         if provided is not None:
-            return read(self.spark, logical, provided, True, self.source_options)
+            return read(self.spark, logical, provided, True, options)
         src = logical.source
         if src.is_stream:
             name = src.stream or DEFAULT_STREAM
@@ -94,7 +98,7 @@ class Mapper:
             found = self.resolve(src.path or "")
             if found is None:
                 raise MappingError(f"the source {src.path!r} is not found")
-        return read(self.spark, logical, found, False, self.source_options)
+        return read(self.spark, logical, found, False, options)
 
     def map(self, streams: Mapping[str, DataFrame] | DataFrame | None = None, triples_maps: Iterable[TriplesMap | str] | None = None, predicates: Iterable[str] | None = None, _provided: DataFrame | None = None) -> DataFrame:
         """The quads, as a bag. triples_maps: only these (or ids); a parent that is left out joins nothing."""
@@ -111,7 +115,7 @@ class Mapper:
         compilers: dict[LogicalSource, Compiler] = {}
         for m in chosen:
             if m.source not in compilers:
-                compilers[m.source] = Compiler(self._records(m.source, streams or {}, _provided), self.functions, self.options)
+                compilers[m.source] = self.compiler(self._records(m.source, streams or {}, _provided), self.functions, self.options)
         parts, statements = [], {}
         for m in chosen:
             c = compilers[m.source]
@@ -121,7 +125,7 @@ class Mapper:
                 if ref.parent in chosen:
                     parts.append(joined(c, ref, terms, compilers[ref.parent.source]))
         make = fused if layout == "fused" else branches
-        made = [made for source, found in statements.items() if (made := make(compilers[source].records.df, found)) is not None] + parts
+        made = [made for source, found in statements.items() if (made := make(compilers[source].df, found)) is not None] + parts
         out = made[0] if made else self.spark.createDataFrame([], "subject string, predicate string, object string, object_kind string, datatype string, lang string, graph string")
         for more in made[1:]:
             out = out.unionByName(more)

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 
 from quadloom.errors import MappingError
 from quadloom.mapping.model import ExpressionMap, JoinCondition, LogicalSource, ObjectMap, PredicateObjectMap, RefObjectMap, Source, SubjectMap, TriplesMap
-from quadloom.rdf.terms import EXT, FNML, IRI, RML, RR, BNode, Graph, Literal
+from quadloom.rdf.terms import EXT, FNML, IRI, RDF_TYPE, RML, RR, BNode, Graph, Literal, local_name
 from quadloom.rdf.turtle import parse
 
 TERM_TYPES = {RR + "IRI": "iri", RR + "BlankNode": "bnode", RR + "Literal": "literal"}
@@ -38,7 +38,8 @@ class _Loader:
     # -- values of properties
 
     def many(self, node, *properties: str) -> list:
-        return [o for p in properties for o in self.g.objects(node, p)]
+        """Properties without a namespace are extension terms."""
+        return [o for p in properties for o in (self.g.objects(node, p) if ":" in p else self.g.extended(node, p))]
 
     def one(self, node, *properties: str):
         found = self.many(node, *properties)
@@ -74,10 +75,10 @@ class _Loader:
     def source(self, node) -> Source:
         if isinstance(node, Literal):
             return Source(path=node.value)
-        types = {t.value for t in self.many(node, "http://www.w3.org/1999/02/22-rdf-syntax-ns#type")}
-        name, url = self.text(node, EXT + "streamName"), self.text(node, EXT + "url")
-        spaces = tuple(sorted((self.text(n, EXT + "namespacePrefix") or "", self.text(n, EXT + "namespaceName") or "") for n in self.many(node, EXT + "declaresNamespace")))
-        if not types & {EXT + "Stream", EXT + "FileSource", EXT + "XmlDocument"} and name is None and url is None and not spaces:
+        types = {local_name(t.value) for t in self.many(node, RDF_TYPE)}
+        name, url = self.text(node, "streamName"), self.text(node, "url")
+        spaces = tuple(sorted((self.text(n, "namespacePrefix") or "", self.text(n, "namespaceName") or "") for n in self.many(node, "declaresNamespace")))
+        if not types & {"Stream", "FileSource", "XmlDocument"} and name is None and url is None and not spaces:
             if isinstance(node, IRI):
                 return Source(path=node.value)
             raise MappingError(f"the source {node} is of no known type")
@@ -87,12 +88,12 @@ class _Loader:
         term_type = self.one(node, RR + "termType")
         if term_type is not None and getattr(term_type, "value", None) not in TERM_TYPES:
             raise MappingError(f"{term_type} of {node} is no term type")
-        function = self.one(node, FNML + "functionValue", EXT + "multiFunctionValue")
+        function = self.one(node, FNML + "functionValue", "multiFunctionValue")
         return cls(
             str(node),
             constant=self.one(node, RR + "constant"),
-            reference=self.text(node, RML + "reference", EXT + "multiReference"),
-            template=self.text(node, RR + "template", EXT + "multiTemplate"),
+            reference=self.text(node, RML + "reference", "multiReference"),
+            template=self.text(node, RR + "template", "multiTemplate"),
             function=None if function is None else self.triples_map(function),
             term_type=None if term_type is None else TERM_TYPES[term_type.value],
             **more,
@@ -116,7 +117,7 @@ class _Loader:
 
     def object_map(self, node) -> ObjectMap | RefObjectMap:
         if (parent := self.one(node, RR + "parentTriplesMap")) is not None:
-            joins = [JoinCondition(self.text(n, RR + "child") or "", self.text(n, RR + "parent") or "") for n in self.many(node, RR + "joinCondition", EXT + "multiJoinCondition")]
+            joins = [JoinCondition(self.text(n, RR + "child") or "", self.text(n, RR + "parent") or "") for n in self.many(node, RR + "joinCondition", "multiJoinCondition")]
             if any(not j.child or not j.parent for j in joins):
                 raise MappingError(f"a join condition of {node} lacks its child or parent")
             return RefObjectMap(str(node), self.triples_map(parent), joins)

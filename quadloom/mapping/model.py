@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from quadloom.expr.template import parse_template
+
 
 @dataclass(frozen=True)
 class Source:
@@ -107,6 +109,45 @@ def references(maps: list[TriplesMap]) -> tuple[set[str], set[str]]:
     return functions, parents
 
 
+def texts_read(maps: list[TriplesMap], source: LogicalSource | None) -> list[str]:
+    """The references that maps make to the records of a logical source."""
+    out: list[str] = []
+
+    def visit(e: ExpressionMap | None) -> None:
+        if e is None:
+            return
+        if e.reference is not None:
+            out.append(e.reference)
+        if e.template is not None:
+            out.extend(v for k, v in parse_template(e.template) if k == "expr")
+        if e.function is not None:
+            walk(e.function)
+        for inner in (getattr(e, "datatype", None), getattr(e, "language", None), *getattr(e, "graphs", ())):
+            visit(inner)
+
+    def walk(m: TriplesMap) -> None:
+        for s in m.subjects:
+            visit(s)
+        for pom in m.poms:
+            for e in (*pom.predicates, *pom.graphs, *(o for o in pom.objects if not isinstance(o, RefObjectMap))):
+                visit(e)
+            for o in pom.objects:
+                if isinstance(o, RefObjectMap):
+                    out.extend(j.child for j in o.conditions)
+                    if not o.conditions:
+                        for s in o.parent.subjects:
+                            visit(s)
+
+    for m in maps:
+        if m.source == source:
+            walk(m)
+        for pom in m.poms:
+            for o in pom.objects:
+                if isinstance(o, RefObjectMap) and o.parent.source == source:
+                    out.extend(j.parent for j in o.conditions)
+    return list(dict.fromkeys(out))
+
+
 def mappable(maps: list[TriplesMap]) -> list[TriplesMap]:
     """Without those that are only called as functions."""
     functions, parents = references(maps)

@@ -1,15 +1,17 @@
 """Expression maps as columns.
 
-A compiled map is `Terms`: `many`, an array of term structs, or, where a record gives one at most, `one`, a struct that
-may be null (plans stay free of arrays then).
+A compiled map is `Terms`: `many`, an array of term structs, or, where a record gives one at most, `one`, a `Term` of
+plain columns (plans stay free of arrays then). Every value is bound as a column of the records, once, whatever number of
+statements use it; what can be decided when the plan is made (valid IRIs, language tags) is not asked of each record.
 """
 
+import re
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.errors import MappingError
@@ -17,11 +19,22 @@ from quadloom.expr import iri
 from quadloom.expr.template import parse_template
 from quadloom.functions import Registry
 from quadloom.mapping.model import ExpressionMap, ObjectMap
-from quadloom.rdf.terms import FNO, IRI, OLD_FNO, XSD, BNode, Literal
+from quadloom.rdf.terms import FNO, IRI, OLD_FNO, RDF, XSD, BNode, Literal
 from quadloom.sources import Records
 
 TERM = "struct<value:string,kind:string,datatype:string,lang:string>"
 LANGUAGE_TAG = r"^([A-Za-z]{2,8}(-[A-Za-z0-9]{1,8})*|[xXiI](-[A-Za-z0-9]{1,8})+)$"
+LANG_STRING = RDF + "langString"
+# Texts of the types that are checked where asked for.
+LEXICAL = {
+    "integer": r"[+-]?[0-9]+",
+    "decimal": r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)",
+    "double": r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[+-]?INF|NaN",
+    "float": r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[+-]?INF|NaN",
+    "boolean": r"true|false|0|1",
+    "date": r"-?[0-9]{4,}-[0-9]{2}-[0-9]{2}(?:Z|[+-][0-9]{2}:[0-9]{2})?",
+    "dateTime": r"-?[0-9]{4,}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?(?:Z|[+-][0-9]{2}:[0-9]{2})?",
+}
 #: By place: the term types allowed, and the kinds of constant.
 ALLOWED = {
     "subject": ({"iri", "bnode"}, (IRI,)),
@@ -42,16 +55,42 @@ class Options:
     validate: bool = False
 
 
+@dataclass(frozen=True)
+class Term:
+    """A term that a record has once, or not at all if one of `needs` is null."""
+
+    value: Column
+    kind: str
+    datatype: Column | None = None
+    lang: Column | None = None
+    needs: tuple[Column, ...] = ()
+
+    @property
+    def struct(self) -> Column:
+        made = term(self.value, self.kind, self.datatype, self.lang)
+        return F.when(there(self.needs), made) if self.needs else made
+
+
+def there(needs: tuple[Column, ...]) -> Column:
+    """None of the columns is null."""
+    each = list({str(c): c for c in needs}.values())
+    test = each[0].isNotNull()
+    for c in each[1:]:
+        test = test & c.isNotNull()
+    return test
+
+
 @dataclass
 class Terms:
-    one: Column | None = None
+    one: Term | None = None
     array: Column | None = None
 
     @property
     def many(self) -> Column:
         if self.array is not None:
             return self.array
-        return F.filter(F.array(self.one), lambda t: t.isNotNull())
+        made = F.array(term(self.one.value, self.one.kind, self.one.datatype, self.one.lang))
+        return F.when(there(self.one.needs), made).otherwise(F.array().cast(f"array<{TERM}>")) if self.one.needs else made
 
 
 def term(value: Column, kind: str, datatype: Column | None = None, lang: Column | None = None) -> Column:
@@ -61,11 +100,21 @@ def term(value: Column, kind: str, datatype: Column | None = None, lang: Column
 
 @dataclass
 class Texts:
-    """The values of an expression, before they are terms. plain: known to be ASCII."""
+    """The values of an expression, before they are terms. plain: known to be ASCII; safe: known to need no escape in
+    IRIs; valid: known to be IRIs. constant: the same for all records."""
 
     one: Column | None = None
     array: Column | None = None
     plain: bool = False
+    safe: bool = False
+    valid: bool = False
+    constant: bool = False
+    #: The columns it is made of: it is null only if one of them is.
+    parts: tuple[Column, ...] = ()
+
+    @property
+    def needs(self) -> tuple[Column, ...]:
+        return () if self.constant else self.parts or (self.one,)
 
     @property
     def many(self) -> Column:
@@ -78,16 +127,31 @@ class Compiler:
     def __init__(self, records: Records, functions: Registry, options: Options):
         self.records, self.functions, self.options = records, functions, options
         self.bound: dict[object, Column] = {}
+        self.levels: list[dict[str, Column]] = []
+        self.level_of: dict[str, int] = {}
 
     def bind(self, column: Column, key: object = None) -> Column:
         """The column under a name of its own in the records: made once, and free to stand in lambdas."""
         if key is not None and key in self.bound:
             return self.bound[key]
         name = f"__bound{len(self.bound)}"
-        self.records.df = self.records.df.withColumn(name, column)
+        # behind the columns it is made of; those of one level are added in one step
+        level = 1 + max((self.level_of[n] for n in re.findall(r"__bound[0-9]+", str(column))), default=-1)
+        self.level_of[name] = level
+        while len(self.levels) <= level:
+            self.levels.append({})
+        self.levels[level][name] = column
         self.bound[name if key is None else key] = F.col(name)
         return F.col(name)
 
+    @property
+    def df(self) -> DataFrame:
+        """The records with the columns bound so far."""
+        df = self.records.df
+        for level in self.levels:
+            df = df.withColumns(level)
+        return df
+
     def terms(self, e: ExpressionMap, place: str) -> Terms:
         types, constants = ALLOWED[place]
         self._check(e)
@@ -102,10 +166,18 @@ class Compiler:
         if kind == "literal":
             return self._literals(e, texts)
         if kind == "bnode":
-            return _mapped(texts, lambda v: term(iri.bnode(v), "bnode"))
+            if texts.one is not None and not texts.constant:
+                texts = Texts(self.bind(iri.bnode(texts.one)), parts=texts.needs)
+                return _mapped(texts, lambda v: v, "bnode")
+            return _mapped(texts, iri.bnode, "bnode")
         base, on_error = self.options.base_iri, self.options.on_error
-        made = Texts(iri.to_iri(texts.one, base, on_error)) if texts.one is not None else Texts(array=F.filter(F.transform(texts.many, lambda v: iri.to_iri(v, base, on_error)), lambda v: v.isNotNull()))
-        return _mapped(made, lambda v: term(v, "iri"))
+        if texts.one is None:
+            made = Texts(array=self.bind(F.filter(F.transform(texts.many, lambda v: iri.to_iri(v, base, on_error)), lambda v: v.isNotNull())))
+        elif texts.valid:
+            made = texts
+        else:
+            made = Texts(self.bind(iri.to_iri(texts.one, base, on_error), ("iri", e.reference, e.template) if e.function is None else None))
+        return _mapped(made, lambda v: v, "iri")
 
     def _check(self, e: ExpressionMap) -> None:
         given = [n for n in ("constant", "reference", "template", "function") if getattr(e, n) is not None]
@@ -125,7 +197,9 @@ class Compiler:
 
     def reference(self, ref: str) -> Texts:
         one = self.records.one(ref)
-        return Texts(one, plain=self.records.plain(ref)) if one is not None else Texts(array=self.bind(self.records.values(ref), ("values", ref)))
+        if one is not None:
+            return Texts(self.bind(one, ("value", ref)), plain=self.records.plain(ref), safe=self.records.safe(ref))
+        return Texts(array=self.bind(self.records.values(ref), ("values", ref)))
 
     def _texts(self, e: ExpressionMap, kind: str) -> Texts:
         if e.reference is not None:
@@ -134,7 +208,7 @@ class Compiler:
             return self.template(e.template, kind)
         found = self.bind(self.call(e))
         if kind == "iri":  # lenient: signs that no IRI has are escaped, others stay
-            odd = "[\\x00-\\x20<>\"{}|^`\\\\]"
+            odd = iri.ODD
             form = self.options.normalization
             fix = lambda v: F.when(v.rlike(odd), F.array_join(F.transform(F.filter(F.split(v, ""), lambda c: c != ""), lambda c: F.when(c.rlike(odd), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c)), "")).otherwise(v)
             return Texts(array=self.bind(F.transform(self.bind(_normal_array(found, form)), fix)))
@@ -148,15 +222,25 @@ class Compiler:
             return iri.iri_safe(v, o.upper_percent) if kind == "iri" else v
 
         if not any(k == "expr" for k, _ in parts):
-            return Texts(F.lit("".join(v for _, v in parts)))
+            whole = "".join(v for _, v in parts)
+            return Texts(F.lit(whole), valid=re.match(iri.VALID, whole) is not None, constant=True)
         refs = [(k, self.reference(v) if k == "expr" else v) for k, v in parts]
         if all(k == "text" or r.one is not None for k, r in refs):
+
             def form(ref: str, r: Texts) -> Column:
-                if kind != "iri" or r.plain or o.normalization is None:
+                if kind != "iri" or r.safe:
                     return r.one
-                return self.bind(iri.normalized(r.one, o.normalization), ("normal", ref))
-
-            return Texts(F.concat(*[F.lit(r) if k == "text" else safe(form(v, r)) for (k, r), (_, v) in zip(refs, parts, strict=True)]))
+                if not r.plain and o.normalization is not None:
+                    return self.bind(safe(self.bind(iri.normalized(r.one, o.normalization), ("normal", ref))), ("safe", ref))
+                return self.bind(safe(r.one), ("safe", ref))
+
+            used = tuple(r.one for k, r in refs if k == "expr")
+            columns = [F.lit(r) if k == "text" else form(v, r) for (k, r), (_, v) in zip(refs, parts, strict=True)]
+            if kind == "iri" and (prefix := iri.known_valid(parts, o.base_iri)) is not None:
+                if prefix:
+                    columns.insert(0, F.lit(prefix))
+                return Texts(self.bind(F.concat(*columns), ("iri", None, text)), valid=True, parts=used)
+            return Texts(self.bind(F.concat(*columns), ("template", text, kind)), parts=used)
         # position by position; of unequal lists an error, unless one is empty
         lists = [self.bind(_normal_array(r.many, o.normalization), ("normals", v)) if kind == "iri" else r.many for (k, r), (_, v) in zip(refs, parts, strict=True) if k == "expr"]
         sizes = [F.size(x) for x in lists]
@@ -200,17 +284,43 @@ class Compiler:
     def _literals(self, e: ExpressionMap, texts: Texts) -> Terms:
         language, datatype = getattr(e, "language", None), getattr(e, "datatype", None)
         if language is None and datatype is None:
-            return _mapped(texts, lambda v: term(v, "literal", F.lit(XSD + "string")))
-        other = self.terms(language, "language") if language is not None else self.terms(datatype, "datatype")
+            return _mapped(texts, lambda v: v, "literal", F.lit(XSD + "string"))
         if language is not None:
-            bad = lambda t: F.raise_error(F.concat(F.lit("not a language tag: "), t)).cast("string")
-            tag = lambda t: F.when(t.rlike(LANGUAGE_TAG), t).otherwise(bad(t))
-            make = lambda v, t: term(v, "literal", F.lit("http://www.w3.org/1999/02/22-rdf-syntax-ns#langString"), tag(t.value))
-        else:
-            make = lambda v, t: term(v, "literal", t.value)
-        if texts.one is not None and other.one is not None:
-            return Terms(F.when(texts.one.isNotNull() & other.one.isNotNull(), make(texts.one, other.one)))
-        return Terms(array=F.flatten(F.transform(texts.many, lambda v: F.transform(other.many, lambda t: make(v, t)))))
+            return self._tagged(texts, self._tags(language))
+        types = self.terms(datatype, "datatype")
+        if texts.one is not None and types.one is not None:
+            value = texts.one
+            if self.options.validate:
+                value = self.bind(checked(value, types.one.value))
+            return Terms(Term(value, "literal", types.one.value, needs=texts.needs + types.one.needs))
+        check = checked if self.options.validate else lambda v, _: v
+        return Terms(array=F.flatten(F.transform(texts.many, lambda v: F.transform(types.many, lambda t: term(check(v, t.value), "literal", t.value)))))
+
+    def _tags(self, language: ExpressionMap) -> Terms:
+        if isinstance(language.constant, Literal):
+            if not re.match(LANGUAGE_TAG, language.constant.value):
+                raise MappingError(f"not a language tag: {language.constant.value}")
+            return self.terms(language, "language")
+        found = self.terms(language, "language")
+        good = lambda t: F.when(t.rlike(LANGUAGE_TAG), t).when(t.isNotNull(), F.raise_error(F.concat(F.lit("not a language tag: "), t)).cast("string"))
+        if found.one is not None:
+            value = self.bind(good(found.one.value))
+            return Terms(Term(value, "literal", needs=(value,)))
+        return Terms(array=F.transform(found.array, lambda t: term(good(t.value), "literal")))
+
+    def _tagged(self, texts: Texts, tags: Terms) -> Terms:
+        if texts.one is not None and tags.one is not None:
+            return Terms(Term(texts.one, "literal", F.lit(LANG_STRING), tags.one.value, texts.needs + tags.one.needs))
+        return Terms(array=F.flatten(F.transform(texts.many, lambda v: F.transform(tags.many, lambda t: term(v, "literal", F.lit(LANG_STRING), t.value)))))
+
+
+def checked(value: Column, datatype: Column) -> Column:
+    """The text of a literal, or an error where it is no text of its type."""
+    wrong = F.raise_error(F.concat(F.lit("not a text of the type "), datatype, F.lit(": "), value)).cast("string")
+    out = F.when(F.lit(False), value)
+    for name, pattern in LEXICAL.items():
+        out = out.when((datatype == XSD + name) & ~value.rlike(f"^(?:{pattern})$"), wrong)
+    return out.otherwise(value)
 
 
 def _normal_array(values: Column, form: str | None) -> Column:
@@ -224,13 +334,13 @@ def _normal_array(values: Column, form: str | None) -> Column:
     return F.when(F.exists(values, lambda v: v.rlike(r"[^\x00-\x7F]")), apply(values)).otherwise(values)
 
 
-def _mapped(texts: Texts, make: Callable[[Column], Column]) -> Terms:
+def _mapped(texts: Texts, make: Callable[[Column], Column], kind: str, datatype: Column | None = None) -> Terms:
     if texts.one is not None:
-        return Terms(F.when(texts.one.isNotNull(), make(texts.one)))
-    return Terms(array=F.transform(texts.many, make))
+        return Terms(Term(make(texts.one), kind, datatype, needs=texts.needs))
+    return Terms(array=F.transform(texts.many, lambda v: term(make(v), kind, datatype)))
 
 
-def _constant(c) -> Column:
+def _constant(c) -> Term:
     if isinstance(c, Literal):
-        return term(F.lit(c.value), "literal", F.lit(c.datatype), F.lit(c.lang).cast("string"))
-    return term(F.lit(f"_:{c.value}" if isinstance(c, BNode) else c.value), "bnode" if isinstance(c, BNode) else "iri")
+        return Term(F.lit(c.value), "literal", F.lit(c.datatype), F.lit(c.lang).cast("string"))
+    return Term(F.lit(f"_:{c.value}" if isinstance(c, BNode) else c.value), "bnode" if isinstance(c, BNode) else "iri")

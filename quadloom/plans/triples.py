@@ -1,7 +1,8 @@
 """Triples maps as quads: the product of subjects, predicates, objects and graphs of each record.
 
-Layout `fused`: one `inline` over all statements of a logical source's maps, so that a source is read once. Layout
-`union`: a branch for each statement pattern, so that a filter on predicates drops whole branches.
+Layout `fused`: one `inline` over all statements of a logical source's maps, so that a source is read once; the statements
+hold columns that are bound below it, so that no value is made twice. Layout `union`: a branch for each statement pattern,
+so that a filter on predicates drops whole branches.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from quadloom.errors import MappingError
 from quadloom.mapping.model import ExpressionMap, RefObjectMap, TriplesMap
-from quadloom.operators.joins import join_subjects, keyed
-from quadloom.plans.terms import Compiler, Terms, term
+from quadloom.operators.joins import join_once, join_subjects, keyed, keyed_once
+from quadloom.plans.terms import Compiler, Term, Terms, there
 from quadloom.rdf.terms import RDF_TYPE, RR
 
 QUAD = "struct<subject:string,predicate:string,object:string,object_kind:string,datatype:string,lang:string,graph:string>"
@@ -25,20 +26,23 @@ DEFAULT = RR + "defaultGraph"
 
 @dataclass
 class Statements:
-    """Quads of a record: one at most (`one`, a struct or null), or an array."""
+    """Quads of a record: one (`one`, a struct) if none of `needs` is null, or an array."""
 
     one: Column | None = None
+    needs: tuple[Column, ...] = ()
     array: Column | None = None
     predicate: str | None = None
 
 
-def _quad(s: Column, p: Column, o: Column, g: Column) -> Column:
+def _quad(s, p, o, g) -> Column:
+    """Of structs or Terms."""
+    text = lambda x: F.lit(x) if isinstance(x, str) else F.lit(None).cast("string") if x is None else x
     graph = F.when(g.value != DEFAULT, g.value)
-    return F.struct(s.value.alias("subject"), p.value.alias("predicate"), o.value.alias("object"), o.kind.alias("object_kind"), o.datatype.alias("datatype"), o.lang.alias("lang"), graph.alias("graph"))
+    return F.struct(s.value.alias("subject"), p.value.alias("predicate"), o.value.alias("object"), text(o.kind).alias("object_kind"), text(o.datatype).alias("datatype"), text(o.lang).alias("lang"), graph.alias("graph"))
 
 
 def no_graph() -> Terms:
-    return Terms(term(F.lit(DEFAULT), "iri"))
+    return Terms(Term(F.lit(DEFAULT), "iri"))
 
 
 def union_of(terms: Iterable[Terms]) -> Terms:
@@ -51,13 +55,18 @@ def union_of(terms: Iterable[Terms]) -> Terms:
 def product(s: Terms, p: Terms, o: Terms, g: Terms) -> Statements:
     parts = (s, p, o, g)
     if all(t.one is not None for t in parts):
-        there = parts[0].one.isNotNull()
-        for t in parts[1:]:
-            there = there & t.one.isNotNull()
-        return Statements(F.when(there, _quad(s.one, p.one, o.one, g.one)))
-    each = lambda xs, f: F.flatten(F.transform(xs, f))
-    made = each(s.many, lambda a: each(p.many, lambda b: each(o.many, lambda c: F.transform(g.many, lambda d: _quad(a, b, c, d)))))
-    return Statements(array=F.array_distinct(made))
+        return Statements(_quad(s.one, p.one, o.one, g.one), tuple(c for t in parts for c in t.one.needs))
+    needs = tuple(c for t in parts if t.one is not None for c in t.one.needs)
+    arrays = [i for i, t in enumerate(parts) if t.one is None]
+
+    def over(left: list[int], chosen: dict[int, Column]) -> Column:
+        """array of quads: the product over the arrays that are left; single terms stand in it as they are."""
+        make = lambda i: lambda x: over(left[1:], {**chosen, i: x}) if len(left) > 1 else _quad(*[chosen.get(k, x) if t.one is None else t.one for k, t in enumerate(parts)])
+        made = F.transform(parts[left[0]].array, make(left[0]))
+        return F.flatten(made) if len(left) > 1 else made
+
+    made = F.array_distinct(over(arrays, {}))
+    return Statements(array=F.when(there(needs), made).otherwise(F.array().cast(f"array<{QUAD}>")) if needs else made)
 
 
 @dataclass
@@ -90,14 +99,14 @@ class MapPlan:
             return no_graph()
         g = union_of(found)
         if g.one is not None:
-            return Terms(F.coalesce(g.one, no_graph().one))
+            return Terms(Term(F.coalesce(g.one.value, F.lit(DEFAULT)), "iri")) if g.one.needs else g
         return Terms(array=F.when(F.size(g.array) == 0, no_graph().many).otherwise(g.array))
 
     def plan(self) -> Planned:
         out = Planned([], [])
         for (s, own), subject_map in zip(self.subjects(), self.m.subjects, strict=True):
             for c in subject_map.classes:
-                made = product(s, Terms(term(F.lit(RDF_TYPE), "iri")), Terms(term(F.lit(c), "iri")), self.graphs(own, []))
+                made = product(s, Terms(Term(F.lit(RDF_TYPE), "iri")), Terms(Term(F.lit(c), "iri")), self.graphs(own, []))
                 made.predicate = RDF_TYPE
                 out.statements.append(made)
             for pom in self.m.poms:
@@ -126,34 +135,54 @@ class MapPlan:
 
 
 def fused(df: DataFrame, statements: list[Statements]) -> DataFrame | None:
-    """One pass over df."""
+    """One pass over df. Statements that a record does not have are null in the array, and dropped behind `inline`."""
     if not statements:
         return None
-    ones = [s.one for s in statements if s.array is None]
-    quads = [F.filter(F.array(*ones), lambda q: q.isNotNull())] if ones else []
-    quads += [s.array for s in statements if s.array is not None]
-    return df.select(F.inline(F.concat(*quads) if len(quads) > 1 else quads[0]))
+    ones = [F.when(there(s.needs), s.one) if s.needs else s.one for s in statements if s.array is None]
+    arrays = [s.array for s in statements if s.array is not None]
+    quads = ([F.array(*ones)] if ones else []) + arrays
+    out = df.select(F.inline(F.concat(*quads) if len(quads) > 1 else quads[0]))
+    return out.where("subject IS NOT NULL") if any(s.needs for s in statements) else out
 
 
 def branches(df: DataFrame, statements: list[Statements]) -> DataFrame | None:
     out = None
     for s in statements:
-        part = df.select(F.inline(s.array)) if s.array is not None else df.select(s.one.alias("q")).where("q IS NOT NULL").select("q.*")
+        if s.array is not None:
+            part = df.select(F.inline(s.array))
+        else:
+            part = (df.where(there(s.needs)) if s.needs else df).select(s.one.alias("q")).select("q.*")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def joined(child: Compiler, ref: RefObjectMap, parts: list[Terms], parent: Compiler) -> DataFrame:
     """Quads of a reference with join conditions."""
-    s, p, g = parts
     if not ref.parent.subjects:
         raise MappingError(f"{ref.parent} has no subject map")
-    subjects = union_of([parent.terms(x, "subject") for x in ref.parent.subjects]).many
-    values = {f"v{i}": child.reference(j.child).many for i, j in enumerate(ref.conditions)}
-    found_by = [parent.reference(j.parent).many for j in ref.conditions]
-    rows = child.records.df.select(s.many.alias("s"), p.many.alias("p"), g.many.alias("g"), *[v.alias(k) for k, v in values.items()]).where((F.size("s") > 0) & (F.size("p") > 0))
-    conditions = [(f"v{i}", keyed(parent.records.df, subjects, v)) for i, v in enumerate(found_by)]
+    subjects = union_of([parent.terms(x, "subject") for x in ref.parent.subjects])
+    values = [child.reference(j.child) for j in ref.conditions]
+    found_by = [parent.reference(j.parent) for j in ref.conditions]
+    if len(values) == 1 and all(t.one is not None for t in (*parts, subjects, values[0], found_by[0])):
+        return _joined_once(child, parts, values[0].one, parent, subjects.one, found_by[0].one)
+    s, p, g = parts
+    rows = child.df.select(s.many.alias("s"), p.many.alias("p"), g.many.alias("g"), *[v.many.alias(f"v{i}") for i, v in enumerate(values)]).where((F.size("s") > 0) & (F.size("p") > 0))
+    conditions = [(f"v{i}", keyed(parent.df, subjects.many, v.many)) for i, v in enumerate(found_by)]
     found = join_subjects(rows, ["s", "p", "g"], conditions)
     found = found.select(F.explode("s").alias("s"), "p", "g", "o").select("s", F.explode("p").alias("p"), "g", "o").select("s", "p", "o", F.explode("g").alias("g"))
     q = _quad(F.col("s"), F.col("p"), F.col("o"), F.col("g"))
     return found.select(q.alias("q")).select("q.*")
+
+
+def _joined_once(child: Compiler, parts: list[Terms], value: Column, parent: Compiler, subject: Term, key: Column) -> DataFrame:
+    """One value, one subject, one predicate and one graph a record: no array crosses the join, and nothing that is the
+    same for all records."""
+    needs = (value, *(c for t in parts for c in t.one.needs))
+    own = {n: t.one.value for n, t in zip("spg", parts, strict=True) if t.one.needs or n == "s"}
+    if "g" not in own:
+        own |= {"g": parts[2].one.value} if str(parts[2].one.value) != str(no_graph().one.value) else {}
+    rows = child.df.where(there(needs)).select(*[c.alias(n) for n, c in own.items()], value.alias("k"))
+    found = join_once(rows, keyed_once(parent.df, subject, key))
+    terms = [Term(F.col(n), t.one.kind) if n in own else t.one for n, t in zip("spg", parts, strict=True)]
+    q = _quad(terms[0], terms[1], Term(F.col("o"), subject.kind), terms[2])
+    return found.select(q.alias("q")).select("q.*")

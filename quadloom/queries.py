@@ -87,13 +87,6 @@ add(
     [table("P", "part", subject("http://example.com/named/{p_name}"), pom("ex:brand", 'rr:template "http://example.com/brand/{p_brand}"'))],
     union(quad(f"'{EX}named/' || replace(p_name, ' ', '%20')", EX + "brand", f"'{EX}brand/' || replace(p_brand, '#', '%23')", "FROM part", kind="iri")),
 )
-add(
-    "template_lower_percent",
-    [table("P", "part", subject("http://example.com/named/{p_name}/{p_type}"), pom("ex:brand", 'rr:template "http://example.com/b/{p_brand}:{p_size}"'))],
-    union(quad(f"'{EX}named/' || replace(p_name, ' ', '%20') || '/' || replace(p_type, ' ', '%20')", EX + "brand", f"'{EX}b/' || replace(p_brand, '#', '%23') || ':' || p_size", "FROM part", kind="iri")),
-    upper_percent=False,
-    normalization=None,
-)
 add("template_literal", [table("S", "supplier", SUPPLIER, pom("ex:label", 'rr:template "{s_name} \\\\{{s_nationkey}\\\\}" ; rr:termType rr:Literal'))], union(quad(iri("supplier", "s_suppkey"), EX + "label", "s_name || ' {' || s_nationkey || '}'", "FROM supplier")))
 add(
     "template_bnode",

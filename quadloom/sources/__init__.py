@@ -18,9 +18,12 @@ from quadloom.mapping.model import LogicalSource
 from quadloom.rdf.terms import QL
 
 TABLE = "http://quadloom.example/ns#Table"
+#: JSON records are taken apart at once from so many keys on (fewer are faster one by one).
+FEW = 4
 NONE = lambda: F.array().cast("array<string>")
 Resolver = Callable[[str], object]
-PLAIN = {"tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "boolean", "date", "timestamp", "timestamp_ntz"}
+SAFE = {"tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "boolean", "date"}
+PLAIN = SAFE | {"timestamp", "timestamp_ntz"}
 
 
 @dataclass
@@ -30,6 +33,8 @@ class Records:
     one: Callable[[str], Column | None] = field(default=lambda ref: None)
     #: Whether the values are known to be ASCII (numbers, dates).
     plain: Callable[[str], bool] = field(default=lambda ref: False)
+    #: Whether the values are known to need no escape in IRIs (numbers, not times).
+    safe: Callable[[str], bool] = field(default=lambda ref: False)
 
 
 # ---- resolvers
@@ -99,7 +104,11 @@ def csv_records(spark: SparkSession, logical: LogicalSource, found, provided: bo
     else:
         head = spark.read.text(str(found)).limit(20)
         lines = [r.value for r in head.collect() if r.value and not r.value.startswith("#")]
-        reader = spark.read.options(header=True, multiLine=True, escape='"', quote='"', maxCharsPerColumn=-1, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, comment="#", emptyValue="", nullValue="", sep=csv_delimiter(_whole(lines)), enforceSchema=False)
+        multiline = options.get("multiline")
+        if multiline is None:  # a file with line breaks in quotes cannot be split, so files are looked through first
+            odd = F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2)) == 1
+            multiline = bool(spark.read.text(str(found)).where(odd).take(1))
+        reader = spark.read.options(header=True, multiLine=multiline, escape='"', quote='"', maxCharsPerColumn=-1, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, comment="#", emptyValue="", nullValue="", sep=csv_delimiter(_whole(lines)), enforceSchema=False)
         df = reader.csv(str(found)) if lines else spark.createDataFrame([], "`_none` string")
     return _columns(df, bool(df.columns) and df.columns != ["_none"])
 
@@ -138,7 +147,8 @@ def _columns(df: DataFrame, strict: bool) -> Records:
             return F.coalesce(F.filter(c.cast("array<string>"), lambda x: x.isNotNull()), NONE())
         return F.when(c.isNull(), NONE()).otherwise(F.array(c.cast("string")))
 
-    return Records(df, values, one, lambda ref: types.get(ref, "string").split("(")[0] in PLAIN)
+    kind = lambda ref: types.get(ref, "string").split("(")[0]
+    return Records(df, values, one, lambda ref: kind(ref) in PLAIN, lambda ref: kind(ref) in SAFE)
 
 
 def json_records(spark: SparkSession, logical: LogicalSource, found, provided: bool, options: dict) -> Records:
@@ -146,7 +156,25 @@ def json_records(spark: SparkSession, logical: LogicalSource, found, provided: b
     docs = found if isinstance(found, DataFrame) else spark.read.text(str(found), wholetext=not options.get("lines"))
     first = F.col(f"`{docs.columns[0]}`")
     df = docs.where(F.trim(first) != "").select(F.explode(jsonpath.records(first, logical.iterator, provided)).alias("record"))
-    return Records(df, lambda ref: jsonpath.reference(F.col("record"), ref))
+    keys = list(dict.fromkeys(k for ref in options.get("references", ()) if (k := jsonpath.single_key(ref)) is not None))
+    if len(keys) < FEW:
+        keys = []
+    else:  # one look at a record for all of its keys
+        df = df.select("record", F.json_tuple("record", *keys).alias(*[f"__key{i}" for i in range(len(keys))]))
+    made = Records(df, lambda ref: NONE())
+
+    def values(ref: str) -> Column:
+        key = jsonpath.single_key(ref)
+        if key in keys:
+            return jsonpath.listed(F.col(f"__key{keys.index(key)}"), F.col("record"), ref)
+        if (path := jsonpath.native(ref)) is not None:
+            name = f"__path{len(made.df.columns)}"
+            made.df = made.df.withColumn(name, F.get_json_object("record", path))
+            return jsonpath.listed(F.col(name), F.col("record"), ref)
+        return jsonpath.reference(F.col("record"), ref)
+
+    made.values = values
+    return made
 
 
 def xml_records(spark: SparkSession, logical: LogicalSource, found, provided: bool, options: dict) -> Records:
@@ -157,28 +185,39 @@ def xml_records(spark: SparkSession, logical: LogicalSource, found, provided: bo
     iterator = logical.iterator or "/*"
     xpath.compile_path(iterator, spaces)  # errors show when the plan is made
 
+    refs = list(dict.fromkeys(options.get("references", ())))
+    for ref in refs:
+        xpath.compile_path(ref, spaces)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = xpath.compile_path(iterator, spaces)
+        find, each = xpath.compile_path(iterator, spaces), [xpath.compile_path(ref, spaces) for ref in refs]
         for batch in batches:
             out = []
             for text in batch.iloc[:, 0]:
                 if text and text.strip():
-                    out += [xpath.serialized(n) for n in find(xpath.parse_document(text)) if isinstance(n, xpath.Node)]
-            yield pd.DataFrame({"record": pd.Series(out, dtype=object)})
+                    for n in find(xpath.parse_document(text)):
+                        if isinstance(n, xpath.Node):  # a record is an element without what stands around it
+                            top = xpath.Document(n.element).top
+                            out.append([xpath.values(f(top), as_text) for f in each])
+            yield pd.DataFrame({f"r{i}": pd.Series([row[i] for row in out], dtype=object) for i in range(len(refs))} | {"record": pd.Series([True] * len(out), dtype=bool)})
 
-    df = docs.select(docs.columns[0]).mapInPandas(run, "record string")
+    fields = "".join(f"r{i} array<string>, " for i in range(len(refs)))
+    df = docs.select(docs.columns[0]).mapInPandas(run, fields + "record boolean")
 
     def values(ref: str) -> Column:
-        xpath.compile_path(ref, spaces)  # errors show when the plan is made
+        if ref not in refs:
+            raise MappingError(f"the XML source was read without the reference {ref!r}")
+        return F.col(f"r{refs.index(ref)}")
 
-        @F.pandas_udf("array<string>")
-        def apply(s: pd.Series) -> pd.Series:
-            find = xpath.compile_path(ref, spaces)
-            return s.map(lambda v: xpath.values(find(xpath.parse_document(v).top), as_text))
+    return Records(df, values)
 
-        return apply(F.col("record"))
 
-    return Records(df, values)
+def check_iterator(logical: LogicalSource) -> None:
+    """An error if the iterator cannot be read."""
+    if logical.formulation == QL + "JSONPath":
+        jsonpath.parse_path(logical.iterator or "$")
+    elif logical.formulation == QL + "XPath":
+        xpath.compile_path(logical.iterator or "/*", dict(logical.source.namespaces))
 
 
 FORMULATIONS: dict[str, Callable] = {QL + "CSV": csv_records, QL + "JSONPath": json_records, QL + "XPath": xml_records, TABLE: table_records}
