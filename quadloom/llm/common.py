@@ -1,9 +1,7 @@
-"""Helpers shared by the operators: batched text functions, and cutting lineage in the shared folder."""
+"""Helpers shared by the operators: batched text functions, and (from the library) cutting lineage in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -12,27 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quadloom.shared import staged as staged
+
 #: Texts of one Arrow batch are worked on in runs of at most so many characters (a longer text is its own run).
 RUN_CHARS = 4_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, or one of our own where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="quadloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder and read again: cuts lineage, and survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_text(
     df: DataFrame,
     keep: Sequence[str],

@@ -1,22 +1,26 @@
 """MinHash near-duplicates by a chosen-path set similarity join, confirmed on whole sets.
 
 1. Of each document: the set of its word shingles (64-bit hashes), a 128-bit mark of the set, REPEATS x DEPTH minwise
-   tokens and an odd sketch. Equal sets collapse to their smallest id at once.
-   The odd sketch (parities of the set's elements by hash) bounds how many elements differ, and loses no pair, neither
-   whole nor folded to 128 bits.
+   tokens, a sketch of 128 bits (one of a minwise token each) and an odd sketch (parities of the set's elements by hash).
+   Equal sets collapse to their smallest id at once.
 2. Trees: at the root a document goes to one node for each of REPEATS minwise tokens. Nodes with few documents are
-   compared exhaustively by folded sketch and size; the others branch by the next minwise token, to DEPTH. What is still large
-   there holds near-equal documents: its members are compared with two leaders, and those that do not come into the
-   leader's group with all members of other groups, so nothing is capped.
+   compared exhaustively by sketch and size; the others branch by the next minwise token, to DEPTH. The members of nodes
+   that are still large are compared with two leaders.
 3. Candidate links are confirmed on whole sets, in rounds: first a link or two of each document, then what still joins
    different groups. Groups are connected components, found by iterated joins.
-
-A pair at the threshold is missed by a tree with probability 1 - s^DEPTH at most, so by all trees with (1 - s^DEPTH)^
-REPEATS (4e-7 at 0.85, 2.6e-5 at 0.80); small nodes that stop early only lower it. Nothing else loses a pair.
-
-Defined cases: null and empty texts have empty sets, are linked with nothing and are kept; rows
-that repeat an id are documents of their own; texts with fewer words than a shingle have one shingle of all their words;
-null ids take no part in links and are kept; extra columns are ignored.
+4. Large nodes whose members are of several groups by then go on branching, by BRANCHES choices of DEPTH more tokens each,
+   up to STRIDES times, until they are small, of one group, or have few members outside the main group. Those members are
+   compared with the members of other groups, in blocks of both, each pair of blocks under a key of its own.
+
+A pair at the threshold s is missed by one tree with probability 1 - s^DEPTH at most, so by all trees with (1 - s^DEPTH)^
+REPEATS (4e-7 at 0.85, 2.6e-5 at 0.80); small nodes that stop early only lower it. The sketch rejects such a pair with
+probability 7e-8 at most (SIGMAS); the odd sketch loses no pair. Between members of the large nodes of step 4 that need
+all strides, a pair at 0.85 is missed with probability 1e-3 about. Nothing else loses a pair.
+
+Defined cases: null and empty texts have empty sets, are linked with nothing and are kept; rows that repeat an id are
+documents of their own; texts with fewer words than a shingle have one shingle of all their words; null ids take no part
+in links and are kept; texts of any length are worked on whole, and equal ones once; an empty table gives no rows; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +36,11 @@ from quadloom.llm.common import documents, map_text, staged
 REPEATS, DEPTH = 20, 4
 #: Nodes of at most so many documents are compared pair by pair.
 SMALL = 24
+#: Of the 128 sketch bits a pair at similarity s agrees on (1 + s) / 2 in the mean; this many standard deviations are allowed.
+SIGMAS = 6.5
+#: Further branching of large nodes: times, and children a member has each time; nodes with so few members outside the
+#: main group are compared at once; members of a block.
+STRIDES, BRANCHES, FEW, BLOCK = 3, 2, 64, 512
 #: Bits of the odd sketch: the parity of a set's elements by hash.
 ODD = 1024
 
@@ -78,11 +87,11 @@ def _known(cache: dict[bytes, int]) -> dict[bytes, int]:
 
 
 def profiles(df: DataFrame, keep, text: str, width: int) -> DataFrame:
-    """`keep`, n (set size), mark (128 bits of the set), a and b (64-bit halves of the folded odd sketch), tokens
-    (minwise), odd (the odd sketch)."""
+    """`keep`, n (set size), mark (128 bits of the set), a and b (64-bit halves of the sketch), tokens (minwise), odd
+    (the odd sketch)."""
     rng = np.random.default_rng(5)
     n_tokens = REPEATS * DEPTH
-    seeds = rng.integers(1, 2**63, n_tokens, dtype=np.uint64) | np.uint64(1)
+    seeds = rng.integers(1, 2**63, n_tokens + 128, dtype=np.uint64) | np.uint64(1)
     cache: dict[bytes, int] = {}
 
     def fn(texts):
@@ -109,20 +118,21 @@ def profiles(df: DataFrame, keep, text: str, width: int) -> DataFrame:
             mixed = mix(low)
             parity = (np.bincount((s >> np.uint64(7)).astype(np.int64) & (ODD - 1), minlength=ODD) & 1).astype(np.uint8)
             odd.append(np.packbits(parity).view("<i8").tolist())
-            halves = np.packbits(np.bitwise_xor.reduce(parity.reshape(-1, 128), 0)).view("<i8")
+            halves = np.packbits((mixed[n_tokens:] & np.uint64(1)).astype(np.uint8)).view("<i8")
             first.append(int(halves[0]))
             second.append(int(halves[1]))
-            tokens.append(mixed.view(np.int64).tolist())
+            tokens.append(mixed[:n_tokens].view(np.int64).tolist())
         return [n, marks, first, second, tokens, odd]
 
     return map_text(df, keep, text, "n long, mark binary, a long, b long, tokens array<long>, odd array<long>", fn)
 
 
 def alike(x: str, y: str, percent: int) -> F.Column:
-    """Sizes and folded odd sketches allow the similarity. Loses no pair (see near_enough)."""
-    n = F.col(f"{x}.n") + F.col(f"{y}.n")
+    """Sizes and sketches allow the similarity."""
+    p = (1 + percent / 100) / 2
+    most = int(128 * (1 - p) + SIGMAS * (128 * p * (1 - p)) ** 0.5)
     differ = F.bit_count(F.col(f"{x}.a").bitwiseXOR(F.col(f"{y}.a"))) + F.bit_count(F.col(f"{x}.b").bitwiseXOR(F.col(f"{y}.b")))
-    return (100 * F.least(F.col(f"{x}.n"), F.col(f"{y}.n")) >= percent * F.greatest(F.col(f"{x}.n"), F.col(f"{y}.n"))) & ((100 + percent) * differ <= (100 - percent) * n)
+    return (100 * F.least(F.col(f"{x}.n"), F.col(f"{y}.n")) >= percent * F.greatest(F.col(f"{x}.n"), F.col(f"{y}.n"))) & (differ <= most)
 
 
 def near_enough(x: F.Column, y: F.Column, n: F.Column, percent: int) -> F.Column:
@@ -208,6 +218,42 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where(end("x") != end("y")).select("x", "y")
 
 
+def compared(at: DataFrame, percent: int) -> DataFrame:
+    """x < y: pairs of members of different groups that sketches allow, one of them outside the main group. at: node, id, n,
+    a, b, root, main, m (members), k (of them outside). Both sides are dealt to blocks, and a key is a pair of blocks."""
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id", "node"), blocks(n)).cast("int")
+    brief = ["node", "id", "n", "a", "b", "root"]
+    every = at.select(*brief, own("m").alias("p"), each("k").alias("q"))
+    outside = at.where("root != main").select(*brief, each("m").alias("p"), own("k").alias("q"))
+    here = (F.col("x.node") == F.col("y.node")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
+    pairs = outside.alias("x").join(every.alias("y"), here & (F.col("x.root") != F.col("y.root")) & alike("x", "y", percent))
+    return pairs.select(F.least("x.id", "y.id").alias("x"), F.greatest("x.id", "y.id").alias("y"))
+
+
+def deeper(large: DataFrame, reps: DataFrame, roots: DataFrame, percent: int) -> DataFrame | None:
+    """x < y: pairs of different groups that large nodes (node, id, n, a, b) hold, and sketches allow."""
+    at = staged(large.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    found = None
+    for stride in range(STRIDES + 1):
+        sizes = at.groupBy("node").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("root", F.xxhash64("node", "id")).alias("main"))
+        at = staged(at.join(sizes.where("lo != hi").select("node", "m", "main"), "node"))
+        if not at.take(1):
+            break
+        at = staged(at.join(at.where("root != main").groupBy("node").agg(F.count("*").alias("k")), "node"))
+        now = (F.col("m") <= SMALL) | (F.col("k") <= FEW) | F.lit(stride == STRIDES)
+        pairs = staged(compared(at.where(now), percent).distinct())
+        found = pairs if found is None else found.union(pairs)
+        if stride < STRIDES:
+            n_tokens = REPEATS * DEPTH
+            chosen = lambda c, i: F.element_at("tokens", (F.pmod(F.xxhash64("node", F.lit(c), F.lit(i)), F.lit(n_tokens)) + 1).cast("int"))
+            child = lambda c: F.xxhash64("node", F.lit(c), *[chosen(c, i) for i in range(DEPTH)])
+            rest = at.where(~now).drop("m", "k", "main").join(reps.select("id", "tokens"), "id")
+            at = staged(rest.select(F.explode(F.array(*[child(c) for c in range(BRANCHES)])).alias("node"), "id", "n", "a", "b", "root"))
+    return found
+
+
 def grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """docs: id, text, and what else tells its rows apart. Of each row: id, the other columns, n and mark; and of each set:
     id (its mark), rep (struct of the least id and the other columns) and root (one mark for each component)."""
@@ -233,17 +279,9 @@ def grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     if more.take(1):
         sure = staged(sure.union(more))
         roots = components(sure)
-    # members of large nodes that have not joined their leader's group are held against all members of other groups
-    if large.take(1):
-        nodes = staged(large.groupBy("id").agg(F.sort_array(F.collect_set("node")).alias("nodes")))
-        rooted = large.join(nodes, "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        rooted = staged(rooted.join(reps.select("id", "odd"), "id"))
-        leader = staged(lead.where("k = 0").select("node", "id").join(roots, "id", "left").select("node", F.coalesce("root", "id").alias("main")))
-        odd = staged(rooted.join(leader, "node").where("root != main").drop("main"))
-        # a pair is taken in the first node that both have
-        here = F.element_at(F.array_intersect("x.nodes", "y.nodes"), 1) == F.col("x.node")
-        rest = odd.alias("x").join(rooted.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & alike("x", "y", percent) & near_enough(F.col("x.odd"), F.col("y.odd"), F.col("x.n") + F.col("y.n"), percent) & here).select(*ordered).distinct()
-        more = confirm(rest, docs, reps, width, percent)
+    rest = deeper(large, reps, roots, percent) if large.take(1) else None
+    if rest is not None:
+        more = confirm(alike_odd(rest.distinct(), reps, percent), docs, reps, width, percent)
         if more.take(1):
             roots = components(staged(sure.union(more)))
     return made, reps.select("id", "rep").join(roots, "id", "left").select("id", "rep", F.coalesce("root", "id").alias("root"))

@@ -63,8 +63,8 @@ def test_empty(spark):
 
 
 def test_chain_of_links(spark):
-    ids = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "x long, y long")
-    assert {tuple(r) for r in near.components(ids).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
+    ids = spark.createDataFrame([(i, i + 1) for i in range(25)] + [(100, 101)], "x long, y long")
+    assert {tuple(r) for r in near.components(ids).collect()} == {(i, 0) for i in range(26)} | {(100, 100), (101, 100)}
 
 
 def test_pairs_at_the_threshold(spark):
@@ -76,3 +76,35 @@ def test_pairs_at_the_threshold(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((tuple(r) for r in near.near_duplicates(df).collect()), key=str)
     assert got == brute(rows) and sum(r[3] for r in got) == 8
+
+
+def test_one_large_node_below_the_threshold(spark, monkeypatch):
+    """Pages of one template, of similarity 0.5 to 0.9 with each other: nodes branch on, and what is left goes block by block."""
+    monkeypatch.setattr(near, "SMALL", 4)
+    monkeypatch.setattr(near, "FEW", 3)
+    monkeypatch.setattr(near, "BLOCK", 16)
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        own = rng.choice([6, 10, 14, 18, 30, 40])
+        at = rng.randrange(20) * 4  # some change much the same part
+        words = base[:at] + [f"o{rng.randrange(3)}x{k}" if rng.random() < 0.8 else f"o{i}x{k}" for k in range(own)] + base[at + own :]
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in near.near_duplicates(df).collect()), key=str)
+    want = brute(rows)
+    assert len({r[2] for r in want}) > 20
+    assert got == want
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    other = [f"v{rng.randrange(10**6)}" for _ in range(60_000)]
+    changed = list(words)
+    for k in range(0, 60_000, 50):
+        changed[k] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(other)), (4, " ".join(words[:30_000] + other[:30_000]))]
+    df = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, n long, mark int")
+    assert sorted((tuple(r) for r in near.near_duplicates(df).collect()), key=str) == brute(rows)
