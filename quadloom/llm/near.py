@@ -10,7 +10,8 @@
    different groups. Groups are connected components, found by iterated joins.
 4. Large nodes whose members are of several groups by then go on branching, by BRANCHES choices of DEPTH more tokens each,
    up to STRIDES times, until they are small, of one group, or have few members outside the main group. Those members are
-   compared with the members of other groups, in blocks of both, each pair of blocks under a key of its own.
+   compared with the members of other groups, in blocks of both, each pair of blocks under a key of its own: first a member
+   is linked with the nearest of each other group, then with all that still are of different groups.
 
 A pair at the threshold s is missed by one tree with probability 1 - s^DEPTH at most, so by all trees with (1 - s^DEPTH)^
 REPEATS (4e-7 at 0.85, 2.6e-5 at 0.80); small nodes that stop early only lower it. The sketch rejects such a pair with
@@ -28,6 +29,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -218,22 +220,47 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where(end("x") != end("y")).select("x", "y")
 
 
-def compared(at: DataFrame, percent: int) -> DataFrame:
-    """x < y: pairs of members of different groups that sketches allow, one of them outside the main group. at: node, id, n,
-    a, b, root, main, m (members), k (of them outside). Both sides are dealt to blocks, and a key is a pair of blocks."""
+def compared(at: DataFrame, reps: DataFrame, percent: int, every: bool) -> DataFrame:
+    """x < y: pairs of members of different groups that both sketches allow, one of them outside the main group; of each
+    such member and each other group in a block the nearest by sketch, or `every` pair. at: node, id, n, a, b, root, main,
+    m (members), k (of them outside). Both sides are dealt to blocks, and a key is a pair of blocks."""
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id", "node"), blocks(n)).cast("int")
-    brief = ["node", "id", "n", "a", "b", "root"]
-    every = at.select(*brief, own("m").alias("p"), each("k").alias("q"))
-    outside = at.where("root != main").select(*brief, each("m").alias("p"), own("k").alias("q"))
-    here = (F.col("x.node") == F.col("y.node")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
-    pairs = outside.alias("x").join(every.alias("y"), here & (F.col("x.root") != F.col("y.root")) & alike("x", "y", percent))
-    return pairs.select(F.least("x.id", "y.id").alias("x"), F.greatest("x.id", "y.id").alias("y"))
-
+    at = at.join(reps.select("id", "odd"), "id")
+    brief = ["node", "id", "n", "a", "b", "root", "odd"]
+    both = at.select(*brief, F.lit(False).alias("asks"), own("m").alias("p"), each("k").alias("q"))
+    both = both.union(at.where("root != main").select(*brief, F.lit(True), each("m"), own("k")))
+    p = (1 + percent / 100) / 2
+    most = int(128 * (1 - p) + SIGMAS * (128 * p * (1 - p)) ** 0.5)
 
-def deeper(large: DataFrame, reps: DataFrame, roots: DataFrame, percent: int) -> DataFrame | None:
-    """x < y: pairs of different groups that large nodes (node, id, n, a, b) hold, and sketches allow."""
+    def pairs(group: pa.Table) -> pa.Table:
+        asks = group["asks"].to_numpy()
+        n = group["n"].to_numpy()
+        ab = np.stack([group["a"].to_numpy(), group["b"].to_numpy()], 1)
+        odd = np.array(group["odd"].to_pylist(), np.int64).reshape(len(n), -1)
+        ids, roots = group["id"].to_pylist(), np.unique(np.array(group["root"].to_pylist(), object), return_inverse=True)[1]
+        others = np.flatnonzero(~asks)
+        x, y = [], []
+        for i in np.flatnonzero(asks).tolist():
+            differ = np.bitwise_count(ab[others] ^ ab[i]).sum(1, dtype=np.int64)
+            ok = (differ <= most) & (roots[others] != roots[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))
+            found = others[ok]
+            near = (100 + percent) * np.bitwise_count(odd[found] ^ odd[i]).sum(1, dtype=np.int64) <= (100 - percent) * (n[found] + n[i])
+            found, differ = found[near], differ[ok][near]
+            if not every and len(found):
+                order = np.lexsort((found, differ, roots[found]))
+                found = found[order[np.r_[True, np.diff(roots[found][order]) != 0]]]
+            for j in found.tolist():
+                x.append(min(ids[i], ids[j]))
+                y.append(max(ids[i], ids[j]))
+        return pa.table({"x": pa.array(x, pa.binary()), "y": pa.array(y, pa.binary())})
+
+    return both.groupBy("node", "p", "q").applyInArrow(pairs, "x binary, y binary").distinct()
+
+
+def deeper(large: DataFrame, reps: DataFrame, roots: DataFrame, percent: int, every: bool) -> DataFrame | None:
+    """x < y: pairs of different groups that large nodes (node, id, n, a, b) hold, as `compared` gives them."""
     at = staged(large.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
     found = None
     for stride in range(STRIDES + 1):
@@ -243,7 +270,7 @@ def deeper(large: DataFrame, reps: DataFrame, roots: DataFrame, percent: int) ->
             break
         at = staged(at.join(at.where("root != main").groupBy("node").agg(F.count("*").alias("k")), "node"))
         now = (F.col("m") <= SMALL) | (F.col("k") <= FEW) | F.lit(stride == STRIDES)
-        pairs = staged(compared(at.where(now), percent).distinct())
+        pairs = staged(compared(at.where(now), reps, percent, every))
         found = pairs if found is None else found.union(pairs)
         if stride < STRIDES:
             n_tokens = REPEATS * DEPTH
@@ -275,15 +302,19 @@ def grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     hooks = links.groupBy("y").agg(F.min("x").alias("x")).select("x", "y").union(links.groupBy("x").agg(F.max("y").alias("y")).select("x", "y")).distinct()
     sure = confirm(hooks, docs, reps, width, percent)
     roots = components(sure)
-    more = confirm(apart(links.join(hooks, ["x", "y"], "left_anti"), roots), docs, reps, width, percent)
-    if more.take(1):
-        sure = staged(sure.union(more))
-        roots = components(sure)
-    rest = deeper(large, reps, roots, percent) if large.take(1) else None
-    if rest is not None:
-        more = confirm(alike_odd(rest.distinct(), reps, percent), docs, reps, width, percent)
-        if more.take(1):
-            roots = components(staged(sure.union(more)))
+    more = [confirm(apart(links.join(hooks, ["x", "y"], "left_anti"), roots), docs, reps, width, percent)]
+    # members of large nodes and other groups there: first the nearest, then what still is of different groups
+    for every in (False, True):
+        if more[-1].take(1):
+            sure = staged(sure.union(more[-1]))
+            roots = components(sure)
+        rest = deeper(large, reps, roots, percent, every)
+        if rest is None:
+            break
+        more.append(confirm(rest.distinct(), docs, reps, width, percent))
+    else:
+        if more[-1].take(1):
+            roots = components(staged(sure.union(more[-1])))
     return made, reps.select("id", "rep").join(roots, "id", "left").select("id", "rep", F.coalesce("root", "id").alias("root"))
 
 
