@@ -4,8 +4,17 @@ A text is split by the tokenizer's pattern. A piece that is a token is that toke
 matrices with a row for each piece. Every round finds each row's leftmost pair of minimum rank, merges it, closes the
 gap, and drops the rows that have no pair left. Pairs are looked up in an open-addressing hash table.
 
-Defined cases: a null text counts as empty; an empty text has no ids; extra columns are ignored; texts of any length
-are worked on whole.
+A round also merges the further pairs of the same rank in the row, where that is what the next rounds would do. One at a
+time, from the left, is the order of the rule: after a merge the leftmost pair of minimum rank is the next one of that rank
+to the right, unless it shared a token with the one just merged (such a pair is gone, so of overlapping ones every other
+counts from the left), or one of the two pairs that the merge has made, with the token before (itself merged, if the merge
+before it ended there) and with the token behind as it still stands, has a lower rank. So exactly these pairs are looked up
+for every merge of the round; where one has a lower rank, the row merges its leftmost pair only. A pair made by a merge cannot
+be of the same rank, as its token is longer than the token of that rank.
+
+Defined cases: a null text counts as empty; an empty text has no ids; repeated rows and null ids are rows like any other;
+texts of any length are worked on whole, and pieces of any length by the same rule; an empty table gives no rows; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +36,6 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 NONE = np.int32(2**31 - 1)
 #: Cells of one matrix, and pieces remembered by one worker.
 CELLS, REMEMBERED = 1 << 20, 300_000
-#: Pieces over so many bytes merge all equal minimum pairs of a row at once where that provably gives the same ids.
-LONG = 256
 
 # The pattern's classes among the first 256 code points.
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -156,63 +163,63 @@ class Codec:
                     break
                 if (most := int(size.max())) < ids.shape[1]:
                     ids, rank = ids[:, :most], rank[:, : most - 1]
-            if width > LONG:
-                ids, rank, size = self._merge_all(ids, rank, size, pos, best)
-            else:
-                ids, rank, size = self._merge_one(ids, rank, size, pos, best)
+            ids, rank, size = self._merge(ids, rank, size, pos, best)
         return out
 
-    def _merge_one(self, ids, rank, size, pos, best):
+    def _merge(self, ids, rank, size, pos, best):
+        """Each row's leftmost pair of minimum rank, and those of the same rank that the next rounds would merge."""
         n, width = ids.shape
         each = np.arange(n)
-        cols = np.arange(width - 1)
-        moved = cols + (cols > pos[:, None])
-        new = np.empty_like(ids)
-        new[:, :-1] = np.take_along_axis(ids, moved, 1)
-        new[:, -1] = -1
-        new[each, pos] = best
-        new_rank = np.full_like(rank, NONE)
-        new_rank[:, :-1] = np.take_along_axis(rank, moved[:, : width - 2] if width > 2 else moved[:, :0], 1)
-        right = pos < width - 2
-        r = np.flatnonzero(right)
-        new_rank[r, pos[r]] = self.pairs.get(best[r], new[r, pos[r] + 1])
-        q = np.flatnonzero(pos > 0)
-        new_rank[q, pos[q] - 1] = self.pairs.get(new[q, pos[q] - 1], best[q])
-        return new, new_rank, size - 1
-
-    def _merge_all(self, ids, rank, size, pos, best):
-        """Row by row, all of the equal minimum pairs, unless a pair made on the way has a lower rank: then the first."""
-        made = []
-        for row, n, first, low in zip(ids, size, pos, best, strict=True):
-            row = row[:n]
-            hit = np.flatnonzero((row[:-1] == row[first]) & (row[1:] == row[first + 1]))
-            if row[first] == row[first + 1]:  # in a run of one token, every other
-                start = np.r_[True, np.diff(hit) > 1]
-                begin = np.maximum.accumulate(np.where(start, np.arange(len(hit)), 0))
-                hit = hit[(np.arange(len(hit)) - begin) % 2 == 0]
-            got = self._joined(row, hit, low)
-            tokens = np.full(len(hit), low, np.int32)
-            after = row[np.minimum(hit + 2, n - 1)].copy()
-            after[hit + 2 > n - 1] = -1
-            before = np.full(len(hit), -1, np.int32)
-            had = hit > 0
-            before[had] = row[hit[had] - 1]
-            before[1:][hit[1:] - hit[:-1] == 2] = low
-            if min(self.pairs.get(tokens, after).min(), self.pairs.get(before, tokens).min()) < low:
-                got = self._joined(row, hit[:1], low)
-            made.append(got)
-        size = np.fromiter(map(len, made), np.int64, len(made))
-        out = np.full((len(made), max(2, int(size.max()))), -1, np.int32)
-        for k, x in enumerate(made):
-            out[k, : len(x)] = x
-        rank = self.pairs.get(out[:, :-1].ravel(), out[:, 1:].ravel()).reshape(len(made), -1)
-        return out, rank, size
-
-    @staticmethod
-    def _joined(row, hit, low):
-        got = row.copy()
-        got[hit] = low
-        return np.delete(got, hit + 1)
+        hit = rank == best[:, None]
+        row, col = np.nonzero(hit)
+        if len(row) > n:
+            # of pairs that overlap, every other from the left
+            start = np.r_[True, (row[1:] != row[:-1]) | (col[1:] != col[:-1] + 1)]
+            place = np.arange(len(row))
+            chosen = (place - np.maximum.accumulate(np.where(start, place, 0))) % 2 == 0
+            row, col = row[chosen], col[chosen]
+            token = best[row]
+            after = np.where(col + 2 < width, ids[row, np.minimum(col + 2, width - 1)], -1)
+            before = np.where(col > 0, ids[row, np.maximum(col - 1, 0)], -1)
+            joined = np.r_[False, (row[1:] == row[:-1]) & (col[1:] == col[:-1] + 2)]
+            before[joined] = token[joined]
+            lower = (self.pairs.get(token, after) < token) | (self.pairs.get(before, token) < token)
+            if lower.any():
+                alone = np.zeros(n, np.bool_)
+                alone[row[lower]] = True
+                keep = ~alone[row] | (col == pos[row])
+                row, col = row[keep], col[keep]
+        else:
+            row, col = each, pos
+        ids[row, col] = best[row]
+        gone = np.zeros((n, width), np.bool_)
+        gone[row, col + 1] = True
+        # the gaps closed: where each column of the shorter rows comes from
+        merges = np.bincount(row, minlength=n)
+        size = size - merges
+        most = width - int(merges.min())
+        if int(merges.max()) == 1:
+            moved = np.arange(most) + (np.arange(most) > col[:, None]) if len(row) == n else None
+        else:
+            moved = None
+        if moved is None:
+            to = np.cumsum(~gone, 1) - 1
+            r, c = np.nonzero(~gone)
+            new, new_rank = np.full((n, most), -1, np.int32), np.full((n, most), NONE, np.int32)
+            new[r, to[r, c]] = ids[r, c]
+            new_rank[r, to[r, c]] = np.concatenate([rank, np.full((n, 1), NONE, np.int32)], 1)[r, c]
+            at = to[row, col]
+        else:
+            new = np.take_along_axis(ids, moved, 1)
+            new_rank = np.take_along_axis(np.concatenate([rank, np.full((n, 1), NONE, np.int32)], 1), moved, 1)
+            at = col
+        # pairs with a token that is new
+        right = np.where(at + 1 < most, new[row, np.minimum(at + 1, most - 1)], -1)
+        new_rank[row, at] = self.pairs.get(new[row, at], right)
+        has = at > 0
+        r, a = row[has], at[has]
+        new_rank[r, a - 1] = self.pairs.get(new[r, a - 1], new[r, a])
+        return new, np.ascontiguousarray(new_rank[:, : most - 1]), size
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocab.__getitem__, np.frombuffer(ids, "<u4").tolist()))

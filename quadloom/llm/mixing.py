@@ -1,14 +1,17 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
 A source's weight is its share of all tokens to the power t, normalised: t = 1 keeps the shares, t = 0 makes sources
-equal. The exponent is found by bisection: the smallest t at which the entropy of the weights is at most the target
-and no source repeats more than the limit allows, where the budget of tokens is the least at which no source goes
-below one pass. Then each source's budget is realised: whole passes of all its documents, and in a last pass a
-permutation of blocks (buckets of documents by hash), each block in an order of its own, as far as the budget goes.
+equal, t > 1 favours the large. The exponent is found by bisection: the smallest t at which the entropy of the weights
+is at most the target, among those at which no source repeats more than the limit allows (these lie around 1 on either
+side; the budget of tokens is the least at which no source goes below one pass). If none of them meets the target, the
+largest is taken, which comes nearest, and target_met is false. Then each source's budget is realised: whole passes of all
+its documents, and in a last pass a permutation of blocks (buckets of documents by hash, as many as the rows need), each
+block in an order of its own, as far as the budget goes.
 
 Tokens are runs of characters other than the blanks \\t to \\r and space. Defined cases: a null source is a source of its
 own; a null or empty text has no tokens and comes once; a source without tokens comes once; repeated rows are documents
-of their own; extra columns are ignored (kept by `mixed`); an empty table gives no rows.
+of their own; texts of any length are counted whole; ties go by hash and row; extra columns are ignored (kept by `mixed`);
+an empty table gives no rows, and one source, or sources of one size, meet any target with 1.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from quadloom.llm.common import documents, staged
 
 #: Most passes over a source; target entropy as a share of the greatest (log of the number of sources).
 LIMIT, ENTROPY = 2.0, 0.97
-STEPS, BLOCKS, SEED = 30, 256, 23
+STEPS, BLOCKS, BLOCK_ROWS, SEED = 40, 256, 1 << 16, 23
 
 
 def n_tokens(text) -> F.Column:
@@ -35,25 +38,31 @@ def totals(docs: DataFrame) -> DataFrame:
     return staged(docs.groupBy("key").agg(F.sum("n").alias("n")).where("n > 0"))
 
 
-def exponent(sums: DataFrame, limit: float = LIMIT, entropy: float = ENTROPY) -> float:
-    """The smallest exponent in [0, 1] at which weights keep to both limits (1 if none does). One small row a step
-    comes to the driver; the sources stay where they are."""
-    all_, sources = sums.agg(F.sum("n"), F.count("*")).first()
-    if not sources:
-        return 1.0
+def exponent(sums: DataFrame, limit: float = LIMIT, entropy: float = ENTROPY) -> tuple[float, bool]:
+    """The exponent, and whether the target is met. One small row a step comes to the driver; the sources stay where they
+    are."""
+    all_, sources, most, least = sums.agg(F.sum("n"), F.count("*"), F.max("n"), F.min("n")).first()
+    if not sources or most == least:
+        return 1.0, True
     p = F.col("n") / F.lit(float(all_))
-    low, high = 0.0, 1.0
-    for step in range(STEPS + 1):
-        t = 0.0 if step == 0 else (low + high) / 2
+
+    def fine(t: float) -> bool:
+        """The entropy of w / sum(w) is at most the target."""
         w = F.pow(p, F.lit(t))
-        # entropy of w / sum(w), and passes: weight a token, over the least of them (that of the largest source)
-        z, log, most, least = sums.agg(F.sum(w), F.sum(w * F.log(w)), F.max(w / p), F.min(w / p)).first()
-        h = _log(z) - log / z
-        fine = h <= entropy * _log(sources) + 1e-12 and most / least <= limit + 1e-12
-        if step == 0 and fine:
-            return 0.0
-        low, high = (low, t) if fine else (t, high)
-    return high
+        z, log = sums.agg(F.sum(w), F.sum(w * F.log(w))).first()
+        return _log(z) - log / z <= entropy * _log(sources) + 1e-12
+
+    # passes of the largest and the smallest source differ by (most / least) ^ |t - 1|
+    reach = _log(limit) / _log(most / least)
+    low, high = max(0.0, 1.0 - reach), 1.0 + reach
+    if fine(low):
+        return low, True
+    if not fine(high):
+        return high, False
+    for _ in range(STEPS):
+        t = (low + high) / 2
+        low, high = (low, t) if fine(t) else (t, high)
+    return high, True
 
 
 def _log(x: float) -> float:
@@ -61,15 +70,15 @@ def _log(x: float) -> float:
 
 
 def plan(docs: DataFrame, limit: float = LIMIT, entropy: float = ENTROPY) -> DataFrame:
-    """docs: uid, key, n. A row for each pass over each document: uid, epoch (from 0)."""
+    """docs: uid, key, n. A row for each pass over each document: uid, epoch (from 0), exponent, target_met."""
     sums = totals(docs)
-    t = exponent(sums, limit, entropy)
-    largest = sums.agg(F.max("n")).first()[0]
-    # passes of a source: (share ^ t / share) over that of the largest, which is passed over once
-    passes = F.pow(F.col("n") / F.lit(float(largest or 1)), F.lit(t - 1.0))
+    t, met = exponent(sums, limit, entropy)
+    largest, smallest = sums.agg(F.max("n"), F.min("n")).first()
+    # passes of a source: (share ^ t / share) over that of the largest or, if t favours that, of the smallest, passed over once
+    passes = F.pow(F.col("n") / F.lit(float((largest if t < 1 else smallest) or 1)), F.lit(t - 1.0))
     budget = sums.select("key", F.floor(passes + 1e-9).cast("int").alias("whole"), F.floor((passes - F.floor(passes + 1e-9)) * F.col("n") + 1e-6).cast("long").alias("rest"))
     budget = staged(budget)
-    at = docs.withColumn("block", F.pmod(F.xxhash64("uid", F.lit(SEED)), F.lit(BLOCKS)).cast("int"))
+    at = docs.withColumn("block", F.pmod(F.xxhash64("uid", F.lit(SEED)), F.lit(max(BLOCKS, -(-docs.count() // BLOCK_ROWS)))).cast("int"))
     # tokens before each block in the permutation of the source's blocks, and before each document in its block
     blocks = at.groupBy("key", "block").agg(F.sum("n").alias("m"))
     turn = Window.partitionBy("key").orderBy(F.xxhash64("key", "block", F.lit(SEED)), "block").rowsBetween(Window.unboundedPreceding, -1)
@@ -81,7 +90,7 @@ def plan(docs: DataFrame, limit: float = LIMIT, entropy: float = ENTROPY) -> Dat
     at = at.join(blocks, ["k", "block"])
     once_more = (F.col("n") > 0) & (F.col("before") + F.col("upto") <= F.col("rest"))
     times = F.when(F.col("n") > 0, F.col("whole") + once_more.cast("int")).otherwise(1)
-    return at.select("uid", F.explode(F.sequence(F.lit(0), times - 1)).alias("epoch"))
+    return at.select("uid", F.explode(F.sequence(F.lit(0), times - 1)).alias("epoch"), F.lit(t).alias("exponent"), F.lit(met).alias("target_met"))
 
 
 def mixed(df: DataFrame, source: str = "source", text: str = "text", limit: float = LIMIT, entropy: float = ENTROPY) -> DataFrame:
@@ -95,4 +104,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
     src = staged(docs.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"), F.monotonically_increasing_id().alias("uid")))
     wanted = plan(src.select("uid", F.col("source").cast("string").alias("key"), F.col("n_tokens").alias("n")))
-    return src.join(wanted, "uid").select("doc_id", "source", "n_tokens", "epoch")
+    return src.join(wanted, "uid").select("doc_id", "source", "n_tokens", "epoch", "exponent", "target_met")

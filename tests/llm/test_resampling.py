@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -21,9 +22,35 @@ def test_counts_and_threshold(spark):
         assert res.kth_highest(scores, k) == sorted(values, reverse=True)[k - 1]
 
 
-def test_gumbel():
-    g = np.array(res.gumbel(list(range(20000))))
-    assert abs(g.mean() - 0.5772) < 0.03 and abs(g.std() - 1.2825) < 0.03
+def test_gumbel(spark):
+    g = np.array([r.g for r in spark.range(20000).select(res.gumbel(res.F.col("id")).alias("g")).collect()])
+    assert abs(g.mean() - 0.5772) < 0.03 and abs(g.std() - 1.2825) < 0.03 and len(set(g.tolist())) == 20000
+
+
+def test_like_brute_force(spark, tmp_path):
+    """Weights, scores and verdicts again, document by document and gram by gram."""
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choices("abc d" if i % 3 else "#$x?", k=rng.randint(0, 80)))) for i in range(120)] + [(200, None), (201, "é"), (3, "abc abc")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 120) if i % 3 == 1], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    bucket = lambda g: ((g[0] << 16 | g[1] << 8 | g[2]) * 2654435761 % 2**32) >> 18
+    grams = lambda t: [bucket(t[i : i + 3]) for i in range(len(t) - 2)] if t else []
+    of = {k: grams((t or "").encode()) for k, (_, t) in enumerate(rows)}
+    is_target = [i % 3 == 1 and i < 120 for i, _ in rows]
+    raw, target = [0] * res.BUCKETS, [0] * res.BUCKETS
+    for k, found in of.items():
+        for b in found:
+            raw[b] += 1
+            target[b] += is_target[k]
+    ratio = lambda b: math.log((target[b] + 0.5) / (sum(target) + 0.5 * res.BUCKETS)) - math.log((raw[b] + 0.5) / (sum(raw) + 0.5 * res.BUCKETS))
+    weights = [100 * sum(map(ratio, of[k])) / len(of[k]) if of[k] else -100.0 for k in of]
+    least = min(0.0, sorted(w for w, t in zip(weights, is_target) if t)[0])
+    noise = {r.doc_id: r.g for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", res.gumbel(res.F.col("doc_id")).alias("g")).collect()}
+    scores = [w + noise[i] for w, (i, _) in zip(weights, rows)]
+    cut = sorted(scores)[-sum(w >= least for w in weights)]
+    want = sorted((i, round(w, 6), round(s, 6), s >= cut) for (i, _), w, s in zip(rows, weights, scores))
+    got = sorted((r.doc_id, round(r.log_weight, 6), round(r.score, 6), r.kept) for r in res.op7_resampling(spark, str(tmp_path)).collect())
+    assert got == want
 
 
 @pytest.mark.parametrize("labels", [True, False])
