@@ -14,7 +14,8 @@ be of the same rank, as its token is longer than the token of that rank.
 
 Defined cases: a null text counts as empty; an empty text has no ids; repeated rows and null ids are rows like any other;
 texts of any length are worked on whole, and pieces of any length by the same rule; an empty table gives no rows; extra
-columns are ignored, whatever their names.
+columns are ignored, whatever their names. Code points that are newer than Unicode 15 may be taken for letters or numbers
+here and not by the library, whose tables are older, and then end other pieces.
 """
 
 from __future__ import annotations

@@ -4,21 +4,25 @@ Bytes covered by a string of LENGTH bytes that also starts elsewhere are removed
 meet whatever shard they come from:
 
 1. Each LENGTH-byte window belongs to the least hashed GRAM-byte string in it (its anchor), so equal windows have equal
-   anchors. Windows next to each other with one anchor form a run: the unit of work. Runs of equal bytes are one content.
+   anchors. Windows next to each other with one anchor form a run: the unit of work. Runs of equal bytes are one content,
+   known by a 128-bit BLAKE2 digest of the bytes; the polynomial hashes only deal work out.
 2. Runs whose anchor occurs once hold no repeated window and go. Contents found twice are repeated throughout.
 3. Of anchors with several contents, one copy of each content goes to the anchor's shard. There a suffix array of the
    bytes is refined by Larsson-Sadakane doubling, Kasai's rule gives common prefixes, and neighbours that share LENGTH
-   bytes mark repeated windows. Anchors with many contents are dealt over several shards, whose sorted windows are then
-   merged by binary search within ranges of their hashes.
+   bytes mark repeated windows. Anchors with many contents are dealt over several shards. Of these, the first of each
+   kind of window in suffix order is known by a BLAKE2 digest of its bytes, and the shards' sorted digests are merged by
+   binary search, in as many ranges as the windows need.
 4. Marks go back to every run of the content, and from there to the texts.
 
-Texts are known by their MD5, so equal texts are looked at once but counted as often as they occur. Defined cases: a
+Texts are known by their SHA-256, so equal texts are looked at once but counted as often as they occur. Defined cases: a
 null text counts as empty; texts shorter than LENGTH lose nothing; repeated rows repeat each other; null ids are
-allowed; extra columns are ignored; texts are worked on whole.
+allowed; an empty table gives no rows; texts are worked on whole, long ones in stretches that overlap; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,6 +40,8 @@ from quadloom.llm.repetition import common
 LENGTH, GRAM = 400, 32
 #: Runs that one shard of an anchor gets, about; bytes of one suffix array; windows of a text that are dealt with at once.
 RUNS, BYTES, STRETCH = 256, 2_000_000, 4_000_000
+#: Windows that one range of an anchor merges, about.
+RANGE = 500_000
 POSITION = np.uint64((1 << 24) - 1)
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -71,8 +77,8 @@ class Hashes:
 
 
 def runs(data: np.ndarray, bounds: np.ndarray, length: int, gram: int):
-    """Of texts that stand one after another in data: text, first window (in the text), windows, anchor and content of
-    each run."""
+    """Of texts that stand one after another in data: text, first window (in the text), windows, anchor and first byte (in
+    data) of each run."""
     n, width = len(data), length - gram + 1
     none = np.empty(0, np.int64)
     if n < length:
@@ -92,13 +98,18 @@ def runs(data: np.ndarray, bounds: np.ndarray, length: int, gram: int):
     new = ok & np.r_[True, (anchor[1:] != anchor[:-1]) | ~ok[:-1]]
     first = np.flatnonzero(new)
     last = np.flatnonzero(ok & np.r_[new[1:] | ~ok[1:], True])
-    return owner[first], first - bounds[owner[first]], last - first + 1, grams[anchor[first]].view(np.int64), h.of(first, last + length).view(np.int64)
+    return owner[first], first - bounds[owner[first]], last - first + 1, grams[anchor[first]].view(np.int64), first
+
+
+def digests(data: bytes, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """16 bytes that stand for each stretch of data."""
+    view, digest = memoryview(data), hashlib.blake2b
+    return [digest(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
 
 
 def scanned(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """docs: h, text. A row for each run of each text: h, s (first window), m (windows), anchor, content."""
-    schema = "h binary, s int, m int, anchor long, content long"
-    types = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    schema = "h binary, s int, m int, anchor long, content binary"
 
     def stretches(h, raw):
         for at in range(0, max(1, len(raw) - length + 1), STRETCH):
@@ -118,12 +129,13 @@ def scanned(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 yield made(part)
 
     def made(part):
-        data = np.frombuffer(b"".join(raw for _, _, raw in part), np.uint8)
+        joined = b"".join(raw for _, _, raw in part)
         bounds = np.cumsum([0, *(len(raw) for _, _, raw in part)])
-        owner, s, m, anchor, content = runs(data, bounds, length, gram)
+        owner, s, m, anchor, first = runs(np.frombuffer(joined, np.uint8), bounds, length, gram)
         s = s + np.array([at for _, at, _ in part], np.int64)[owner]
         keys = pa.array([h for h, _, _ in part], pa.binary()).take(pa.array(owner))
-        return pa.RecordBatch.from_arrays([keys, *(pa.array(x, t, safe=False) for x, t in zip((s, m, anchor, content), types[1:], strict=True))], ["h", "s", "m", "anchor", "content"])
+        content = pa.array(digests(joined, first, first + m + length - 1), pa.binary())
+        return pa.RecordBatch.from_arrays([keys, pa.array(s, pa.int32(), safe=False), pa.array(m, pa.int32(), safe=False), pa.array(anchor, pa.int64()), content], ["h", "s", "m", "anchor", "content"])
 
     return docs.mapInArrow(run, schema)
 
@@ -186,85 +198,99 @@ def repeated(segments: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray
     return owner, sa - bounds[owner], twice, ~same
 
 
+NAMES = ("anchor", "content", "lo", "hi", "part", "keys", "owners", "contents")
+
+
+def intervals(owner: np.ndarray, offset: np.ndarray) -> list[tuple[int, list[int], list[int]]]:
+    """Of each owner, the first and the last of the offsets that adjoin."""
+    if not len(owner):
+        return []
+    order = np.lexsort((offset, owner))
+    o, x = owner[order], offset[order]
+    new = np.r_[True, (o[1:] != o[:-1]) | (x[1:] != x[:-1] + 1)]
+    lo, hi, of = x[new], x[np.r_[np.flatnonzero(new)[1:] - 1, len(x) - 1]], o[new]
+    edge = np.r_[0, np.flatnonzero(np.diff(of)) + 1, len(of)]
+    return [(int(of[a]), lo[a:b].tolist(), hi[a:b].tolist()) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+
+
 def marks(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """rows: anchor, content, sub, subs, bytes; sorted by anchor and sub in each partition. Repeated windows within a
-    shard: anchor, content, lo, hi (arrays of first and last offsets); and of anchors with several shards, the sorted
-    hashes of their windows by range."""
-    schema = "anchor long, content long, lo array<int>, hi array<int>, part int, keys binary, owners binary"
+    """rows: anchor, content, sub, subs, ranges, bytes; sorted by anchor and sub in each partition. Repeated windows within
+    a shard: anchor, content, lo, hi (arrays of first and last offsets); and of anchors with several shards, the sorted
+    digests of their windows by range."""
+    schema = "anchor long, content binary, lo array<int>, hi array<int>, part int, keys binary, owners binary, contents array<binary>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if size > BYTES and (row[0], row[2]) != last:
                     yield made(held)
                     held, size = [], 0
                 last = (row[0], row[2])
                 held.append(row)
-                size += len(row[4])
+                size += len(row[5])
         if held:
             yield made(held)
 
     def made(held):
-        owner, offset, twice, first = repeated([r[4] for r in held], length)
+        owner, offset, twice, first = repeated([r[5] for r in held], length)
         out = []
-        order = np.lexsort((offset, owner))
-        o, x = owner[order][twice[order]], offset[order][twice[order]]
-        if len(o):
-            new = np.r_[True, (o[1:] != o[:-1]) | (x[1:] != x[:-1] + 1)]
-            lo, hi = x[new], x[np.r_[np.flatnonzero(new)[1:] - 1, len(x) - 1]]
-            of = o[new]
-            edge = np.r_[0, np.flatnonzero(np.diff(of)) + 1, len(of)]
-            out += [(held[of[a]][0], held[of[a]][1], lo[a:b].tolist(), hi[a:b].tolist(), None, None, None) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        out += [(held[k][0], held[k][1], lo, hi, None, None, None, None) for k, lo, hi in intervals(owner[twice], offset[twice])]
         subs = np.array([r[3] for r in held])
         many = np.flatnonzero((subs[owner] > 1) & first)
         if len(many):
             out += windows(held, owner[many], offset[many], twice[many])
-        return pa.RecordBatch.from_pylist([dict(zip(("anchor", "content", "lo", "hi", "part", "keys", "owners"), r, strict=True)) for r in out], schema=arrow)
+        return pa.RecordBatch.from_pylist([dict(zip(NAMES, r, strict=True)) for r in out], schema=arrow)
 
     def windows(held, owner, offset, twice):
-        """One row for each anchor and range of hashes: sorted hashes, and whose window each is (-1: already marked)."""
-        data = np.frombuffer(b"".join(r[4] for r in held), np.uint8)
-        at = np.cumsum([0, *(len(r[4]) for r in held)])[owner] + offset
-        key = Hashes(data).of(at, at + length)
-        content = np.array([r[1] for r in held], np.int64)[owner]
-        anchor, parts = np.array([r[0] for r in held], np.int64)[owner], np.array([min(r[3], 4096) for r in held])[owner]
-        part = ((key >> np.uint64(40)) % parts.astype(np.uint64)).astype(np.int64)
-        order = np.lexsort((key, part, anchor))
+        """One row for each anchor and range: sorted digests, and whose window each is (-1: already marked)."""
+        data = b"".join(r[5] for r in held)
+        at = np.cumsum([0, *(len(r[5]) for r in held)])[owner] + offset
+        key = np.frombuffer(b"".join(digests(data, at, at + length)), "<u8").reshape(-1, 2)
+        anchor, ranges = np.array([r[0] for r in held], np.int64)[owner], np.array([r[4] for r in held])[owner]
+        part = ((key[:, 0] >> np.uint64(33)) % ranges.astype(np.uint64)).astype(np.int64)
+        order = np.lexsort((key[:, 1], key[:, 0], part, anchor))
         edge = np.flatnonzero(np.r_[True, (np.diff(anchor[order]) != 0) | (np.diff(part[order]) != 0)])
         rows = []
         for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True):
             k = order[a:b]
-            own = np.stack([content[k], np.where(twice[k], -1, offset[k])], 1)
-            rows.append((int(anchor[k[0]]), None, None, None, int(part[k[0]]), key[k].astype("<u8").tobytes(), own.astype("<i8").tobytes()))
+            names, own = np.unique(owner[k], return_inverse=True)
+            owners = np.stack([own, np.where(twice[k], -1, offset[k])], 1).astype("<i4")
+            rows.append((int(anchor[k[0]]), None, None, None, int(part[k[0]]), key[k].tobytes(), owners.tobytes(), [held[i][1] for i in names.tolist()]))
         return rows
 
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
     got = staged(rows.mapInArrow(run, schema))
-    return got.where("part IS NULL").select("anchor", "content", "lo", "hi"), got.where("part IS NOT NULL").select("anchor", "part", "keys", "owners")
+    return got.where("part IS NULL").select("anchor", "content", "lo", "hi"), got.where("part IS NOT NULL").select("anchor", "part", "keys", "owners", "contents")
 
 
 def merged(ranges: DataFrame) -> DataFrame:
-    """Windows that two shards of an anchor have: anchor, content, lo, hi. Each shard's sorted hashes are looked up in the
-    others' by binary search."""
-    schema = "anchor long, content long, lo array<int>, hi array<int>"
+    """Windows that two shards of an anchor have: anchor, content, lo, hi. Each shard's sorted digests are looked up in
+    those of all by binary search."""
+    schema = "anchor long, content binary, lo array<int>, hi array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for anchor, keys, owners in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                shards = [np.frombuffer(k, "<u8") for k in keys]
-                every = np.sort(np.concatenate(shards))
-                for key, own in zip(shards, owners, strict=True):
-                    own = np.frombuffer(own, "<i8").reshape(-1, 2)
-                    times = np.searchsorted(every, key, "right") - np.searchsorted(every, key, "left")
-                    for content, offset in own[(times > 1) & (own[:, 1] >= 0)].tolist():
-                        out.append({"anchor": anchor, "content": content, "lo": [offset], "hi": [offset]})
+            for anchor, keys, owners, contents in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                shards = [np.frombuffer(k, "<u8").reshape(-1, 2) for k in keys]
+                every = np.concatenate(shards)
+                every = every[np.lexsort((every[:, 1], every[:, 0]))]
+                new = np.r_[True, (every[1:] != every[:-1]).any(1)]
+                kinds, times = every[new], np.diff(np.r_[np.flatnonzero(new), len(every)])
+                for key, own, names in zip(shards, owners, contents, strict=True):
+                    own = np.frombuffer(own, "<i4").reshape(-1, 2)
+                    at = np.searchsorted(kinds[:, 0], key[:, 0])
+                    while len(off := np.flatnonzero(kinds[at, 1] != key[:, 1])):  # digests that share their first half
+                        at[off] += 1
+                    found = own[(times[at] > 1) & (own[:, 1] >= 0)].astype(np.int64)
+                    out += [{"anchor": anchor, "content": names[k], "lo": lo, "hi": hi} for k, lo, hi in intervals(found[:, 0], found[:, 1])]
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
-    return ranges.groupBy("anchor", "part").agg(F.collect_list("keys").alias("k"), F.collect_list("owners").alias("o")).select("anchor", "k", "o").mapInArrow(run, schema)
+    lists = [F.collect_list(c).alias(c) for c in ("keys", "owners", "contents")]
+    return ranges.groupBy("anchor", "part").agg(*lists).select("anchor", "keys", "owners", "contents").mapInArrow(run, schema)
 
 
 def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -279,7 +305,7 @@ def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     total = asked.agg(F.sum(F.col("m") + length)).first()[0] or 0
     lists = asked.groupBy("h").agg(F.collect_list(F.struct("anchor", "content", "s", "m", "rows")).alias("asked"))
     texts = docs.groupBy("h").agg(F.any_value("text").alias("text"))
-    schema = "anchor long, content long, sub int, subs int, bytes binary"
+    schema = "anchor long, content binary, sub int, subs int, ranges int, bytes binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,7 +314,8 @@ def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 raw = text.as_py().encode()
                 for r in runs_.as_py():
                     subs = -(-r["rows"] // RUNS)
-                    out.append((r["anchor"], r["content"], r["content"] % subs, subs, raw[r["s"] : r["s"] + r["m"] + length - 1]))
+                    ranges = max(1, r["rows"] * (length - gram) // (2 * RANGE))
+                    out.append((r["anchor"], r["content"], int.from_bytes(r["content"][:6], "little") % subs, subs, ranges, raw[r["s"] : r["s"] + r["m"] + length - 1]))
                 if len(out) > 5000:
                     yield table(out)
                     out = []
@@ -296,8 +323,8 @@ def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 yield table(out)
 
     def table(rows):
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["anchor", "content", "sub", "subs", "bytes"])
+        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["anchor", "content", "sub", "subs", "ranges", "bytes"])
 
     shards = max(partitions(spark), int(total // (4 * BYTES)) + 1)
     pieces = texts.join(lists, "h").select("text", "asked").mapInArrow(cut, schema)
@@ -313,7 +340,7 @@ def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
 def remove_repeats(df: DataFrame, keep=("doc_id",), text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """`keep`, kept (binary: the remaining bytes), n_bytes, n_removed and n_spans."""
     src = df.select(*[df[c] for c in keep], F.coalesce(df[text].cast("string"), F.lit("")).alias("__text"))
-    src = src.withColumn("__h", F.unhex(F.md5("__text")))
+    src = src.withColumn("__h", F.unhex(F.sha2("__text", 256)))
     spans = repeated_spans(src.select(F.col("__h").alias("h"), F.col("__text").alias("text")), length, gram)
     joined = src.join(spans.withColumnRenamed("h", "__h"), "__h", "left").select(*keep, "__text", "spans")
     n = len(keep)

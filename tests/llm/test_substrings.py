@@ -38,6 +38,7 @@ def made(rng):
 def test_like_brute_force(spark, monkeypatch, runs, stretch):
     monkeypatch.setattr(sub, "RUNS", runs)
     monkeypatch.setattr(sub, "STRETCH", stretch)
+    monkeypatch.setattr(sub, "RANGE", 40 * runs)
     texts = made(random.Random(runs))
     rows = [(i, t, 5) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans int")
@@ -88,3 +89,24 @@ def test_query(spark, tmp_path):
 
 def test_empty(spark):
     assert sub.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_hot_anchor(spark, monkeypatch):
+    """A passage shorter than LENGTH that most texts hold, between words of their own: one anchor, many shards and ranges."""
+    monkeypatch.setattr(sub, "RUNS", 5)
+    monkeypatch.setattr(sub, "RANGE", 50)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    passage = " ".join(word() for _ in range(6))
+    texts = [f"{word()} {passage} {word()}" for _ in range(150)] + [f"{word()} {passage} {w}" for w in ("abcde fghab", "abcde ggggg")] + ["same " + passage + " same"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in sub.remove_repeats(df, length=38, gram=8).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 38)
+
+
+def test_strings_that_weak_hashes_confuse(spark):
+    bits = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    texts = [bits, bits.translate(str.maketrans("ab", "ba")), "a" * 500 + bits[:100]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in sub.remove_repeats(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 400)
