@@ -10,8 +10,9 @@
    different groups. Groups are connected components, found by iterated joins.
 4. Large nodes whose members are of several groups by then go on branching, by BRANCHES choices of DEPTH more tokens each,
    up to STRIDES times, until they are small, of one group, or have few members outside the main group. Those members are
-   compared with the members of other groups, in blocks of both, each pair of blocks under a key of its own: first a member
-   is linked with the nearest of each other group, then with all that still are of different groups.
+   compared with each other, and with the main group once for all nodes that they share, in blocks of both, each pair of
+   blocks under a key of its own: first a member is linked with the nearest of each other group, then with all that still
+   are of different groups.
 
 A pair at the threshold s is missed by one tree with probability 1 - s^DEPTH at most, so by all trees with (1 - s^DEPTH)^
 REPEATS (4e-7 at 0.85, 2.6e-5 at 0.80); small nodes that stop early only lower it. The sketch rejects such a pair with
@@ -220,28 +221,29 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where(end("x") != end("y")).select("x", "y")
 
 
-def compared(at: DataFrame, reps: DataFrame, percent: int, every: bool) -> DataFrame:
-    """x < y: pairs of members of different groups that both sketches allow, one of them outside the main group; of each
-    such member and each other group in a block the nearest by sketch, or `every` pair. at: node, id, n, a, b, root, main,
-    m (members), k (of them outside). Both sides are dealt to blocks, and a key is a pair of blocks."""
+def compared(asks: DataFrame, others: DataFrame, reps: DataFrame, percent: int, every: bool) -> DataFrame:
+    """x < y: pairs of an asking and another document of one key, of different groups, that both sketches allow; of each
+    asking document and each other group in a block the nearest by sketch, or `every` pair. asks, others: key, id, n, a, b,
+    root. Both sides are dealt to blocks, and what is compared at once is a pair of blocks."""
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("id", "node"), blocks(n)).cast("int")
-    at = at.join(reps.select("id", "odd"), "id")
-    brief = ["node", "id", "n", "a", "b", "root", "odd"]
-    both = at.select(*brief, F.lit(False).alias("asks"), own("m").alias("p"), each("k").alias("q"))
-    both = both.union(at.where("root != main").select(*brief, F.lit(True), each("m"), own("k")))
+    own = lambda n: F.pmod(F.xxhash64("id", "key"), blocks(n)).cast("int")
+    sizes = asks.groupBy("key").agg(F.count("*").alias("k")).join(others.groupBy("key").agg(F.count("*").alias("m")), "key")
+    brief = ["key", "id", "n", "a", "b", "root", "odd"]
+    with_odd = lambda df: df.select(*brief[:-1]).join(sizes, "key").join(reps.select("id", "odd"), "id")
+    both = with_odd(others).select(*brief, F.lit(False).alias("asks"), own("m").alias("p"), each("k").alias("q"))
+    both = both.union(with_odd(asks).select(*brief, F.lit(True), each("m"), own("k")))
     p = (1 + percent / 100) / 2
     most = int(128 * (1 - p) + SIGMAS * (128 * p * (1 - p)) ** 0.5)
 
     def pairs(group: pa.Table) -> pa.Table:
         asks = group["asks"].to_numpy()
         n = group["n"].to_numpy()
-        ab = np.stack([group["a"].to_numpy(), group["b"].to_numpy()], 1)
-        odd = np.array(group["odd"].to_pylist(), np.int64).reshape(len(n), -1)
+        ab = np.stack([group["a"].to_numpy(), group["b"].to_numpy()], 1).view(np.uint64)
+        odd = np.array(group["odd"].to_pylist(), np.int64).reshape(len(n), -1).view(np.uint64)
         ids, roots = group["id"].to_pylist(), np.unique(np.array(group["root"].to_pylist(), object), return_inverse=True)[1]
         others = np.flatnonzero(~asks)
-        x, y = [], []
+        x, y = [], []  # (an asking document that stands on the other side too is of its own group)
         for i in np.flatnonzero(asks).tolist():
             differ = np.bitwise_count(ab[others] ^ ab[i]).sum(1, dtype=np.int64)
             ok = (differ <= most) & (roots[others] != roots[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))
@@ -256,7 +258,7 @@ def compared(at: DataFrame, reps: DataFrame, percent: int, every: bool) -> DataF
                 y.append(max(ids[i], ids[j]))
         return pa.table({"x": pa.array(x, pa.binary()), "y": pa.array(y, pa.binary())})
 
-    return both.groupBy("node", "p", "q").applyInArrow(pairs, "x binary, y binary").distinct()
+    return both.groupBy("key", "p", "q").applyInArrow(pairs, "x binary, y binary").distinct()
 
 
 def deeper(large: DataFrame, reps: DataFrame, roots: DataFrame, percent: int, every: bool) -> DataFrame | None:
@@ -270,7 +272,12 @@ def deeper(large: DataFrame, reps: DataFrame, roots: DataFrame, percent: int, ev
             break
         at = staged(at.join(at.where("root != main").groupBy("node").agg(F.count("*").alias("k")), "node"))
         now = (F.col("m") <= SMALL) | (F.col("k") <= FEW) | F.lit(stride == STRIDES)
-        pairs = staged(compared(at.where(now), reps, percent, every))
+        # among the members outside the main group by node; with the main group once, whatever nodes they share
+        outside = staged(at.where(now & (F.col("root") != F.col("main"))))
+        pairs = compared(outside.withColumnRenamed("node", "key"), outside.withColumnRenamed("node", "key"), reps, percent, every)
+        keyed = [F.col("main").alias("key"), "id", "n", "a", "b", "root"]
+        pairs = pairs.union(compared(outside.select(*keyed).distinct(), at.where(now & (F.col("root") == F.col("main"))).select(*keyed).distinct(), reps, percent, every))
+        pairs = staged(pairs)
         found = pairs if found is None else found.union(pairs)
         if stride < STRIDES:
             n_tokens = REPEATS * DEPTH

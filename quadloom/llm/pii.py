@@ -4,8 +4,9 @@ The model is trained in numpy, on the driver, from labelled spans that `labelled
 texts from a seed; no corpus rows). A text is cut into overlapping windows; each is decoded by Viterbi, each character
 takes the tag of the window in which it lies farthest from an edge, and spans are read from the whole tag sequence.
 
-Defined cases: a null text counts as empty; a text without characters has no spans; extra columns are ignored; texts
-are worked on whole. Base spans always stay; the model's spans that touch a base span, or that lack the digits or the
+Defined cases: a null text counts as empty; a text without characters has no spans; repeated rows and null ids are rows
+like any other, as each text is looked at by itself; texts of any length are worked on whole; an empty table gives no rows;
+extra columns are ignored, whatever their names. Base spans always stay; the model's spans that touch a base span, or that lack the digits or the
 "at" of their kind, are left out.
 """
 
@@ -411,4 +412,4 @@ def redacted(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = spans(documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter(F.split("base", ","), lambda x: x.startswith(kind + ":"))).cast("long")
-    return made.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+    return made.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans", F.size(F.filter(F.split("spans", ","), lambda x: x != "")).cast("long").alias("n_spans"))
