@@ -1,5 +1,9 @@
 """The corpus pipeline: language ID, near-duplicates, personal data, mixing, tokens. Each stage works on all that the
-one before it kept, and its decisions take effect; all but the last return the columns of documents."""
+one before it kept, and its decisions take effect; all but the last return the columns of documents.
+
+Defined cases, for every stage: texts are worked on whole, whatever their length; an empty table gives no rows; columns other
+than those of documents are left behind, whatever their names; rows are told apart as rows, so those without an id, or with
+an id that another row has, stay unless the stage's own decision takes them out."""
 
 from __future__ import annotations
 
@@ -15,7 +19,8 @@ PASSES = 1.25
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; lang becomes the language found."""
+    """Documents whose language can be told; lang becomes the language found. Null and empty texts, and texts without a letter,
+    go; of repeated rows all stay."""
     known = language.prototypes(docs.where(~language.held_out("doc_id")))
     made = language.identify(docs, known, COLUMNS)
     return made.where(F.col("lang_pred") != language.UNDETERMINED).withColumn("lang", F.col("lang_pred")).select(COLUMNS)
@@ -28,16 +33,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind."""
+    """Personal data replaced by its kind; a null text stays null, and every row stays."""
     return pii.redacted(docs, [c for c in COLUMNS if c != "text"]).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture of their sources wants them."""
+    """Documents as often as the mixture of their sources wants them, each at least once; a null source is one of its own, and a
+    document without words comes once."""
     return mixing.mixed(docs, limit=PASSES).select(COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; a null text has no ids."""
     return bpe.digest(bpe.encode_decode(docs))
 
 
