@@ -177,12 +177,14 @@ def trees(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
 def components(edges: DataFrame) -> DataFrame:
     """id, root of every id in edges (x < y): the smallest id that links reach. Each round an id takes the smallest root
-    next to it or to a member of its root, and then that root's root, until nothing changes."""
-    both = staged(edges.select("x", "y").union(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))))
+    next to it or to a member of its root, and then that root's root, until nothing changes. An id is next to itself, so
+    one join gives its own root too."""
+    both = edges.select("x", "y").union(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
     state = staged(both.groupBy(F.col("x").alias("id")).agg(F.min(F.least("x", "y")).alias("root")))
+    both = staged(both.union(state.select(F.col("id").alias("x"), F.col("id").alias("y"))))
     while True:
-        near = both.join(state.select(F.col("id").alias("y"), F.col("root").alias("r")), "y").groupBy(F.col("x").alias("id")).agg(F.min("r").alias("r"))
-        moved = staged(state.join(near, "id").select("id", "root", F.least("root", "r").alias("r")))
+        near = both.join(state.select(F.col("id").alias("y"), F.col("root").alias("r")), "y").groupBy(F.col("x").alias("id"))
+        moved = staged(near.agg(F.max(F.when(F.col("x") == F.col("y"), F.col("r"))).alias("root"), F.min("r").alias("r")))
         hooks = staged(moved.groupBy("root").agg(F.min("r").alias("to")))
         step = moved.join(hooks, "root").select("id", "root", F.least("r", "to").alias("r"))
         jump = hooks.select(F.col("root").alias("r"), F.col("to").alias("next"))
@@ -193,6 +195,18 @@ def components(edges: DataFrame) -> DataFrame:
         state = new.select("id", "root")
 
 
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (id, root) after more links (x, y). Only the roots that the links reach are worked on."""
+    ends = links
+    for c in ("x", "y"):
+        ends = ends.join(roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}")), c, "left")
+    ends = ends.select(F.coalesce("rx", "x").alias("x"), F.coalesce("ry", "y").alias("y")).where("x != y")
+    up = components(staged(ends.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()))
+    ids = links.select(F.col("x").alias("id")).union(links.select(F.col("y").alias("id"))).distinct().join(roots, "id", "left_anti")
+    every = roots.union(ids.select("id", F.col("id").alias("root"))).join(up.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "left")
+    return staged(every.select("id", F.coalesce("to", "root").alias("root")))
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of pairs (x, y: marks) whose whole sets are similar enough. docs: id, text; reps: id (mark), rep (a struct
     with the doc id)."""
@@ -221,18 +235,17 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where(end("x") != end("y")).select("x", "y")
 
 
-def compared(asks: DataFrame, others: DataFrame, reps: DataFrame, percent: int, every: bool) -> DataFrame:
+def compared(asks: DataFrame, others: DataFrame, percent: int, every: bool) -> DataFrame:
     """x < y: pairs of an asking and another document of one key, of different groups, that both sketches allow; of each
     asking document and each other group in a block the nearest by sketch, or `every` pair. asks, others: key, id, n, a, b,
-    root. Both sides are dealt to blocks, and what is compared at once is a pair of blocks."""
+    root, odd. Both sides are dealt to blocks, and what is compared at once is a pair of blocks."""
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id", "key"), blocks(n)).cast("int")
     sizes = asks.groupBy("key").agg(F.count("*").alias("k")).join(others.groupBy("key").agg(F.count("*").alias("m")), "key")
     brief = ["key", "id", "n", "a", "b", "root", "odd"]
-    with_odd = lambda df: df.select(*brief[:-1]).join(sizes, "key").join(reps.select("id", "odd"), "id")
-    both = with_odd(others).select(*brief, F.lit(False).alias("asks"), own("m").alias("p"), each("k").alias("q"))
-    both = both.union(with_odd(asks).select(*brief, F.lit(True), each("m"), own("k")))
+    both = others.select(*brief).join(sizes, "key").select(*brief, F.lit(False).alias("asks"), own("m").alias("p"), each("k").alias("q"))
+    both = both.union(asks.select(*brief).join(sizes, "key").select(*brief, F.lit(True), each("m"), own("k")))
     p = (1 + percent / 100) / 2
     most = int(128 * (1 - p) + SIGMAS * (128 * p * (1 - p)) ** 0.5)
 
@@ -261,30 +274,42 @@ def compared(asks: DataFrame, others: DataFrame, reps: DataFrame, percent: int,
     return both.groupBy("key", "p", "q").applyInArrow(pairs, "x binary, y binary").distinct()
 
 
-def deeper(large: DataFrame, reps: DataFrame, roots: DataFrame, percent: int, every: bool) -> DataFrame | None:
-    """x < y: pairs of different groups that large nodes (node, id, n, a, b) hold, as `compared` gives them."""
-    at = staged(large.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+def rooted(df: DataFrame, roots: DataFrame) -> DataFrame:
+    """df (id) with the root of each id."""
+    return df.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def mixed(large: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
+    """What large nodes (node, id, n, a, b) of several groups hold, with root, odd and tokens."""
+    at = staged(rooted(large, roots))
+    several = at.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("node")
+    return staged(at.join(several, "node", "left_semi").join(reps.select("id", "odd", "tokens"), "id"))
+
+
+def deeper(at: DataFrame, percent: int, every: bool) -> DataFrame | None:
+    """x < y: pairs of different groups that large nodes (node, id, n, a, b, root, odd, tokens) hold, as `compared` gives
+    them."""
     found = None
     for stride in range(STRIDES + 1):
-        sizes = at.groupBy("node").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("root", F.xxhash64("node", "id")).alias("main"))
-        at = staged(at.join(sizes.where("lo != hi").select("node", "m", "main"), "node"))
+        counts = at.groupBy("node", "root").agg(F.count("*").alias("c")).groupBy("node")
+        sizes = counts.agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
+        at = staged(at.join(sizes.select("node", "m", (F.col("m") - F.col("top.c")).alias("k"), F.col("top.root").alias("main")), "node"))
         if not at.take(1):
             break
-        at = staged(at.join(at.where("root != main").groupBy("node").agg(F.count("*").alias("k")), "node"))
         now = (F.col("m") <= SMALL) | (F.col("k") <= FEW) | F.lit(stride == STRIDES)
         # among the members outside the main group by node; with the main group once, whatever nodes they share
-        outside = staged(at.where(now & (F.col("root") != F.col("main"))))
-        pairs = compared(outside.withColumnRenamed("node", "key"), outside.withColumnRenamed("node", "key"), reps, percent, every)
-        keyed = [F.col("main").alias("key"), "id", "n", "a", "b", "root"]
-        pairs = pairs.union(compared(outside.select(*keyed).distinct(), at.where(now & (F.col("root") == F.col("main"))).select(*keyed).distinct(), reps, percent, every))
+        outside = at.where(now & (F.col("root") != F.col("main"))).drop("tokens")
+        pairs = compared(outside.withColumnRenamed("node", "key"), outside.withColumnRenamed("node", "key"), percent, every)
+        keyed = [F.col("main").alias("key"), "id", "n", "a", "b", "root", "odd"]
+        pairs = pairs.union(compared(outside.select(*keyed).distinct(), at.where(now & (F.col("root") == F.col("main"))).select(*keyed).distinct(), percent, every))
         pairs = staged(pairs)
         found = pairs if found is None else found.union(pairs)
         if stride < STRIDES:
             n_tokens = REPEATS * DEPTH
             chosen = lambda c, i: F.element_at("tokens", (F.pmod(F.xxhash64("node", F.lit(c), F.lit(i)), F.lit(n_tokens)) + 1).cast("int"))
             child = lambda c: F.xxhash64("node", F.lit(c), *[chosen(c, i) for i in range(DEPTH)])
-            rest = at.where(~now).drop("m", "k", "main").join(reps.select("id", "tokens"), "id")
-            at = staged(rest.select(F.explode(F.array(*[child(c) for c in range(BRANCHES)])).alias("node"), "id", "n", "a", "b", "root"))
+            rest = at.where(~now).select(F.explode(F.array(*[child(c) for c in range(BRANCHES)])).alias("node"), "id", "n", "a", "b", "root", "odd", "tokens")
+            at = staged(rest)
     return found
 
 
@@ -309,19 +334,20 @@ def grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     hooks = links.groupBy("y").agg(F.min("x").alias("x")).select("x", "y").union(links.groupBy("x").agg(F.max("y").alias("y")).select("x", "y")).distinct()
     sure = confirm(hooks, docs, reps, width, percent)
     roots = components(sure)
-    more = [confirm(apart(links.join(hooks, ["x", "y"], "left_anti"), roots), docs, reps, width, percent)]
+    more = confirm(apart(links.join(hooks, ["x", "y"], "left_anti"), roots), docs, reps, width, percent)
+    held = None
     # members of large nodes and other groups there: first the nearest, then what still is of different groups
     for every in (False, True):
-        if more[-1].take(1):
-            sure = staged(sure.union(more[-1]))
-            roots = components(sure)
-        rest = deeper(large, reps, roots, percent, every)
+        if more.take(1):
+            roots = joined(roots, more)
+        held = mixed(large, reps, roots) if held is None else staged(rooted(held.drop("root"), roots))
+        rest = deeper(held, percent, every)
         if rest is None:
             break
-        more.append(confirm(rest.distinct(), docs, reps, width, percent))
+        more = confirm(rest.distinct(), docs, reps, width, percent)
     else:
-        if more[-1].take(1):
-            roots = components(staged(sure.union(more[-1])))
+        if more.take(1):
+            roots = joined(roots, more)
     return made, reps.select("id", "rep").join(roots, "id", "left").select("id", "rep", F.coalesce("root", "id").alias("root"))
 
 
