@@ -286,11 +286,36 @@ def mixed(large: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
     return staged(at.join(several, "node", "left_semi").join(reps.select("id", "odd", "tokens"), "id"))
 
 
-def deeper(at: DataFrame, percent: int, every: bool) -> DataFrame | None:
-    """x < y: pairs of different groups that large nodes (node, id, n, a, b, root, odd, tokens) hold, as `compared` gives
-    them."""
-    found = None
+def children(at: DataFrame) -> DataFrame:
+    """The next level below nodes (node, id, n, a, b, root, odd, tokens, main): BRANCHES children of each member, with the
+    node above. A child that members of the main group only would be in holds one group, so it is not made: members outside the
+    main group branch first, and the main group follows to where they went."""
+    n_tokens = REPEATS * DEPTH
+    chosen = lambda c, i: F.element_at("tokens", (F.pmod(F.xxhash64("node", F.lit(c), F.lit(i)), F.lit(n_tokens)) + 1).cast("int"))
+    child = lambda c: F.xxhash64("node", F.lit(c), *[chosen(c, i) for i in range(DEPTH)])
+    rest = ["id", "n", "a", "b", "root", "odd", "tokens"]
+    outside = at.where(F.col("root") != F.col("main"))
+    found = staged(outside.select(F.col("node").alias("above"), F.explode(F.array(*[child(c) for c in range(BRANCHES)])).alias("node"), *rest))
+    reached = found.select("node").distinct()
+    inside = at.where(F.col("root") == F.col("main"))
+    for c in range(BRANCHES):
+        made = inside.select(F.col("node").alias("above"), child(c).alias("node"), *rest)
+        found = found.union(made.join(reached, "node", "left_semi").select("above", "node", *rest))
+    return staged(found)
+
+
+def deeper(levels: list[DataFrame], roots: DataFrame | None, percent: int, every: bool) -> DataFrame | None:
+    """x < y: pairs of different groups that large nodes hold, as `compared` gives them. levels: the members (node, id, n, a,
+    b, root, odd, tokens) of the large nodes, then of their children, as far as they are made; those missing are added.
+    roots: where the groups have grown since the levels were made (a node that stops branching then needs no more levels, and
+    none goes on that stopped before, as the members outside its main group only become fewer)."""
+    found, going = None, None
     for stride in range(STRIDES + 1):
+        at = levels[stride]
+        if stride:
+            at = at.join(going.select(F.col("node").alias("above")), "above", "left_semi").drop("above")
+        if roots is not None:
+            at = staged(rooted(at.drop("root"), roots))
         counts = at.groupBy("node", "root").agg(F.count("*").alias("c")).groupBy("node")
         sizes = counts.agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
         at = staged(at.join(sizes.select("node", "m", (F.col("m") - F.col("top.c")).alias("k"), F.col("top.root").alias("main")), "node"))
@@ -305,11 +330,9 @@ def deeper(at: DataFrame, percent: int, every: bool) -> DataFrame | None:
         pairs = staged(pairs)
         found = pairs if found is None else found.union(pairs)
         if stride < STRIDES:
-            n_tokens = REPEATS * DEPTH
-            chosen = lambda c, i: F.element_at("tokens", (F.pmod(F.xxhash64("node", F.lit(c), F.lit(i)), F.lit(n_tokens)) + 1).cast("int"))
-            child = lambda c: F.xxhash64("node", F.lit(c), *[chosen(c, i) for i in range(DEPTH)])
-            rest = at.where(~now).select(F.explode(F.array(*[child(c) for c in range(BRANCHES)])).alias("node"), "id", "n", "a", "b", "root", "odd", "tokens")
-            at = staged(rest)
+            going = at.where(~now).select("node").distinct()
+            if len(levels) == stride + 1:
+                levels.append(children(at.where(~now)))
     return found
 
 
@@ -335,13 +358,15 @@ def grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     sure = confirm(hooks, docs, reps, width, percent)
     roots = components(sure)
     more = confirm(apart(links.join(hooks, ["x", "y"], "left_anti"), roots), docs, reps, width, percent)
-    held = None
+    levels = []
     # members of large nodes and other groups there: first the nearest, then what still is of different groups
     for every in (False, True):
         if more.take(1):
             roots = joined(roots, more)
-        held = mixed(large, reps, roots) if held is None else staged(rooted(held.drop("root"), roots))
-        rest = deeper(held, percent, every)
+        again = bool(levels)
+        if not again:
+            levels.append(mixed(large, reps, roots))
+        rest = deeper(levels, roots if again else None, percent, every)
         if rest is None:
             break
         more = confirm(rest.distinct(), docs, reps, width, percent)
