@@ -312,9 +312,9 @@ def deeper(levels: list[DataFrame], roots: DataFrame | None, percent: int, every
     found, going = None, None
     for stride in range(STRIDES + 1):
         at = levels[stride]
-        if stride:
-            at = at.join(going.select(F.col("node").alias("above")), "above", "left_semi").drop("above")
         if roots is not None:
+            if stride:  # (levels that are new hold no more than what goes on)
+                at = at.join(going.select(F.col("node").alias("above")), "above", "left_semi")
             at = staged(rooted(at.drop("root"), roots))
         counts = at.groupBy("node", "root").agg(F.count("*").alias("c")).groupBy("node")
         sizes = counts.agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
@@ -330,9 +330,9 @@ def deeper(levels: list[DataFrame], roots: DataFrame | None, percent: int, every
         pairs = staged(pairs)
         found = pairs if found is None else found.union(pairs)
         if stride < STRIDES:
-            going = at.where(~now).select("node").distinct()
             if len(levels) == stride + 1:
                 levels.append(children(at.where(~now)))
+            going = at.where(~now).select("node").distinct()
     return found
 
 
