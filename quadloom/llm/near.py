@@ -312,10 +312,9 @@ def deeper(levels: list[DataFrame], roots: DataFrame | None, percent: int, every
     found, going = None, None
     for stride in range(STRIDES + 1):
         at = levels[stride]
-        if roots is not None:
-            if stride:  # (levels that are new hold no more than what goes on)
-                at = at.join(going.select(F.col("node").alias("above")), "above", "left_semi")
-            at = staged(rooted(at.drop("root"), roots))
+        if roots is not None:  # a child has the root that its row above was given
+            at = at.drop("root")
+            at = staged(at.join(going, ["above", "id"]) if stride else rooted(at, roots))
         counts = at.groupBy("node", "root").agg(F.count("*").alias("c")).groupBy("node")
         sizes = counts.agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
         at = staged(at.join(sizes.select("node", "m", (F.col("m") - F.col("top.c")).alias("k"), F.col("top.root").alias("main")), "node"))
@@ -332,7 +331,7 @@ def deeper(levels: list[DataFrame], roots: DataFrame | None, percent: int, every
         if stride < STRIDES:
             if len(levels) == stride + 1:
                 levels.append(children(at.where(~now)))
-            going = at.where(~now).select("node").distinct()
+            going = at.where(~now).select(F.col("node").alias("above"), "id", "root")
     return found
 
 
