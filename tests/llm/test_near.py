@@ -98,6 +98,31 @@ def test_one_large_node_below_the_threshold(spark, monkeypatch):
     assert got == want
 
 
+def test_large_nodes_that_branch_and_links_that_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(near, "WORK", 0)
+    monkeypatch.setattr(near, "AT_ONCE", -1)
+    test_one_large_node_below_the_threshold(spark, monkeypatch)
+    test_chain_of_links(spark)
+
+
+def test_nodes_of_medium_size_do_not_branch(spark, monkeypatch):
+    """Branching such nodes wrote more of a small table with one large group to disk than the table's own size allows."""
+    monkeypatch.setattr(near, "children", lambda at: pytest.fail("a node went on that could be compared whole"))
+    test_one_large_node_below_the_threshold(spark, monkeypatch)
+
+
+def test_few_links_take_no_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(near, "staged", lambda df, to=near.staged: written.append(df) or to(df))
+    rng = random.Random(7)
+    pairs = sorted({tuple(sorted(rng.sample(range(300), 2))) for _ in range(200)})
+    edges = spark.createDataFrame(pairs, "x long, y long")
+    got = {tuple(r) for r in near.components(edges).collect()}
+    assert len(written) == 1
+    monkeypatch.setattr(near, "AT_ONCE", -1)
+    assert got == {tuple(r) for r in near.components(edges).collect()}
+
+
 def test_very_long_texts(spark):
     rng = random.Random(2)
     words = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
