@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import documents, map_text
+from quadloom.llm.common import documents, map_text, text_runs
 
 SIZE, SEED = 1024, 11
 #: Symbols: none, the letters a to z, then all other letters by their code point.
 CLASSES = 64
 #: Texts, and different trigrams, that are bundled in one matrix product.
-ROWS, GRAMS = 256, 8192
+ROWS, GRAMS = 256, 2048
 UNDETERMINED = "und"
 
 
@@ -97,12 +97,13 @@ def prototypes(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), ROWS):
-                vectors, _ = Space.get().bundles(texts[at : at + ROWS])
-                for name in set(langs[at : at + ROWS]):
-                    rows = [k for k, x in enumerate(langs[at : at + ROWS]) if x == name]
-                    sums[name] = sums.get(name, 0) + vectors[rows].astype(np.int64).sum(0)
+            for first, end in text_runs(batch.column(0)):
+                texts, langs = (batch.column(i).slice(first, end - first).to_pylist() for i in range(2))
+                for at in range(0, len(texts), ROWS):
+                    vectors, _ = Space.get().bundles(texts[at : at + ROWS])
+                    for name in set(langs[at : at + ROWS]):
+                        rows = [k for k, x in enumerate(langs[at : at + ROWS]) if x == name]
+                        sums[name] = sums.get(name, 0) + vectors[rows].astype(np.int64).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["lang", "v"])
 
     known = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(df[text].cast("string"), df[lang].cast("string"))

@@ -30,7 +30,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 ODD = str.maketrans("0123456789", "0246813579")
 
-HIDDEN, TAGS, WINDOW, MARGIN, ROWS = 10, 5, 512, 40, 2048
+HIDDEN, TAGS, WINDOW, MARGIN, ROWS = 10, 5, 512, 40, 512
 #: Bounds of the training: texts, their length, and passes of the optimiser.
 TRAIN_TEXTS, TRAIN_LENGTH, TRAIN_STEPS, TRAIN_BATCH = 3000, 80, 260, 96
 
