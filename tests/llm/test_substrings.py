@@ -1,8 +1,10 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quadloom.llm import substrings as sub
@@ -110,3 +112,24 @@ def test_strings_that_weak_hashes_confuse(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in sub.remove_repeats(df).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts, 400)
+
+
+def test_memory_of_scanning():
+    """A batch of 4 million bytes, half of them in one text: each window in one run, in memory that does not follow the batch."""
+
+    class Docs:
+        def mapInArrow(self, run, schema):
+            return run
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdefgh ", k=n)) for n in [100_000] * 20 + [2_000_000]]
+    batch = pa.record_batch([pa.array([b"%d" % i for i in range(len(texts))]), pa.array(texts)], ["h", "text"])
+    sub._powers.cache_clear()
+    tracemalloc.start()
+    got = [r for made in sub.scanned(Docs(), 400, 32)(iter([batch])) for r in zip(*(made.column(i).to_pylist() for i in range(3)), strict=True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for i, t in enumerate(texts):
+        runs = sorted((s, s + m) for h, s, m in got if h == b"%d" % i)
+        assert [0, *(e for _, e in runs)] == [*(s for s, _ in runs), len(t) - 399]
+    assert peak < 100e6
