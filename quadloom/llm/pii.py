@@ -25,7 +25,7 @@ KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Each start that fails is tried once only: the guards keep long runs of one class linear and the matches the same.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+IP = re.compile(r"[0-9](?<![0-9]{2})[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 ODD = str.maketrans("0123456789", "0246813579")
@@ -253,53 +253,62 @@ def trained(seed: int = 7) -> dict[str, np.ndarray]:
 
 
 def _scores(p, d, x):
-    """What one direction adds to the tag scores: [time, tags, rows]."""
-    h_n, rows = HIDDEN, x.shape[1]
+    """What one direction adds to the tag scores: [time, tags, rows]. Symbols are looked up for two windows at once; gates
+    and h are kept doubled, which is exact."""
+    h_n, (steps, count) = HIDDEN, x.shape
+    if count % 2:
+        x = np.pad(x, ((0, 0), (0, 1)), constant_values=PAD)
+    rows = count + count % 2
+    pairs = x[:, ::2].astype(np.intp) * SYMBOLS + x[:, 1::2]
     half = np.concatenate([np.full(3 * h_n, 0.5, np.float32), np.ones(h_n, np.float32)])[:, None]
-    w, u, v = np.ascontiguousarray(p["w" + d] * half), np.ascontiguousarray(p["u" + d] * half), p["v" + d]
+    w, u, v = p["w" + d] * half, p["u" + d] * (half * np.float32(0.5)), p["v" + d] * np.float32(0.5)
+    table = np.stack([np.repeat(w, SYMBOLS, 1), np.tile(w, SYMBOLS)], -1).view(np.int64)[..., 0]
     h, c = np.zeros((h_n, rows), np.float32), np.zeros((h_n, rows), np.float32)
     z, zu, s = np.empty((4 * h_n, rows), np.float32), np.empty((4 * h_n, rows), np.float32), np.empty_like(h)
-    gates, g = z[: 3 * h_n], z[3 * h_n :]
+    looked, gates, g = z.view(np.int64), z[: 3 * h_n], z[3 * h_n :]
     i, f, o = gates[:h_n], gates[h_n : 2 * h_n], gates[2 * h_n :]
-    out = np.empty((len(x), TAGS, rows), np.float32)
-    for t in range(len(x)):
-        np.take(w, x[t], axis=1, out=z, mode="clip")
+    out = np.empty((steps, TAGS, rows), np.float32)
+    for t in range(steps):
+        np.take(table, pairs[t], axis=1, out=looked, mode="clip")
         np.matmul(u, h, out=zu)
         z += zu
         np.tanh(z, out=z)
-        gates *= 0.5
-        gates += 0.5
+        gates += 1
         c *= f
         np.multiply(i, g, out=s)
         c += s
+        c *= 0.5
         np.tanh(c, out=s)
         np.multiply(o, s, out=h)
         np.matmul(v, h, out=out[t])
-    return out
+    return out[..., :count]
 
 
 def decode(p, x: np.ndarray) -> np.ndarray:
     """The best tags of windows x [time, rows]; no character has tag 0."""
-    x = x.astype(np.intp)
-    e = _scores(p, "f", x)
-    e += _scores(p, "b", x[::-1])[::-1]
-    e += p["bias"][None, :, None]
-    off = x == PAD
-    e[:, 0][off] = 1e4
-    steps, tags, rows = e.shape
-    came = np.zeros((steps, tags, rows), np.uint8)
-    score, tr = e[0].copy(), p["trans"]
-    for t in range(1, steps):
-        best, who = score[0] + tr[0][:, None], came[t]
-        for k in range(1, tags):
-            other = score[k] + tr[k][:, None]
-            np.copyto(who, k, where=other > best)
-            np.maximum(best, other, out=best)
-        score = best + e[t]
+    forth, back = _scores(p, "f", x), _scores(p, "b", x[::-1])
+    steps, tags, rows = forth.shape
+    off, bias, tr = x == PAD, p["bias"][:, None], p["trans"][:, :, None]
+    came = np.empty((steps, tags, rows), np.uint8)
+    score, e = np.zeros((tags, rows), np.float32), np.empty((tags, rows), np.float32)
+    through, best = np.empty((tags, tags, rows), np.float32), np.zeros((tags, rows), np.float32)
+    is_best, who = np.empty((tags, tags, rows), np.bool_), np.empty((tags, tags, rows), np.uint8)
+    place = np.arange(tags, 0, -1, dtype=np.uint8)[:, None, None]  # of equal ones the first tag is taken
+    for t in range(steps):
+        if t:
+            np.add(score[:, None], tr, out=through)
+            np.maximum.reduce(through, axis=0, out=best)
+            np.equal(through, best, out=is_best)
+            np.multiply(is_best.view(np.uint8), place, out=who)
+            np.maximum.reduce(who, axis=0, out=came[t])
+        np.add(forth[t], back[-1 - t], out=e)
+        e += bias
+        np.copyto(e[0], 1e4, where=off[t])
+        np.add(best, e, out=score)
     out, each = np.empty((steps, rows), np.uint8), np.arange(rows)
     out[-1] = score.argmax(0)
     for t in range(steps - 1, 0, -1):
-        out[t - 1] = came[t, out[t], each]
+        np.subtract(tags, came[t, out[t], each], out=out[t - 1])
     return out
 
 
@@ -326,6 +335,8 @@ def tag(p, texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+#: Without one of these there is no match of EMAIL_LIKE.
+AT = ("@", " at ", "(at)", "[at]")
 #: What a span of the model must look like besides, so that plain prose and invalid numbers stay out.
 EMAIL_LIKE = re.compile(r"[\w.%+-]{1,64}(?: ?(?:@|\[at\]|\(at\)) ?[\w-]{1,63}(?:(?:\.| ?[\[(]dot[\])] ?| dot )[\w-]{1,63})+| at [\w-]{1,63}(?: dot [\w-]{1,63})+)")
 NUMBER_LIKE = re.compile(r"[0-9 ().+-]{7,40}")
@@ -350,6 +361,10 @@ def model_spans(text: str, tags: np.ndarray) -> list[tuple[int, int, int]]:
     for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
         if b <= a or not (k := int(tags[a])):
             continue
+        if k == 1:
+            part = text[a:b]
+            if not any(x in part for x in AT):
+                continue
         while a < b and not (text[a].isalnum() or text[a] in "+("):
             a += 1
         while a < b and not text[b - 1].isalnum():

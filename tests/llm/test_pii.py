@@ -84,6 +84,69 @@ def test_viterbi_is_best(model):
         assert score(tags) == pytest.approx(best, abs=1e-2)
 
 
+def plain_decode(p, x):
+    """One step after another, each gate and each pair of tags by itself."""
+    n, e = pii.HIDDEN, 0
+    half = np.concatenate([np.full(3 * n, 0.5, np.float32), np.ones(n, np.float32)])[:, None]
+    for d, way in (("f", 1), ("b", -1)):
+        w, u = p["w" + d] * half, p["u" + d] * half
+        h = c = np.zeros((n, x.shape[1]), np.float32)
+        out = np.empty((len(x), pii.TAGS, x.shape[1]), np.float32)
+        for t in range(len(x)):
+            z = np.tanh(np.take(w, x[::way][t], axis=1) + u @ h)
+            i, f, o, g = *(0.5 * z[k * n : (k + 1) * n] + np.float32(0.5) for k in range(3)), z[3 * n :]
+            c = f * c + i * g
+            h = o * np.tanh(c)
+            out[t] = p["v" + d] @ h
+        e = e + out[::way]
+    e += p["bias"][None, :, None]
+    e[:, 0][x == pii.PAD] = 1e4
+    came, score = np.zeros(e.shape, np.uint8), e[0]
+    for t in range(1, len(x)):
+        best = score[0] + p["trans"][0][:, None]
+        for k in range(1, pii.TAGS):
+            other = score[k] + p["trans"][k][:, None]
+            np.copyto(came[t], k, where=other > best)
+            best = np.maximum(best, other)
+        score = best + e[t]
+    tags = [score.argmax(0)]
+    for t in range(len(x) - 1, 0, -1):
+        tags.append(came[t, tags[-1], np.arange(x.shape[1])])
+    return np.array(tags[::-1])
+
+
+def test_decode_like_plain_steps(model):
+    x, _ = pii.labelled(11, 128, 150)
+    x = np.ascontiguousarray(np.tile(x, (4, 1)).T)
+    for some in (x, x[:, :127], x[:, :1], x[:1]):
+        assert (pii.decode(model, some) == plain_decode(model, some)).all()
+
+
+def test_two_windows_a_lookup(model, monkeypatch):
+    x, looked, take = np.full((30, 64), pii.DIGIT, np.uint8), [], np.take
+    monkeypatch.setattr(np, "take", lambda table, at, **kw: (looked.append(np.size(at)), take(table, at, **kw))[1])
+    pii.decode(model, x)
+    assert 0 < sum(looked) <= x.size  # both directions together
+
+
+def test_no_search_without_at(monkeypatch):
+    monkeypatch.setattr(pii, "EMAIL_LIKE", None)
+    text = "words that mean no place, latter dotted.com (atlas) " * 3
+    assert pii.model_spans(text, np.ones(len(text), np.uint8)) == []
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("01259.", max_size=40))
+def test_ips_like_pattern(text):
+    assert pii.base_spans(text) == brute(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.from_regex(pii.EMAIL_LIKE))
+def test_email_like_has_at(text):
+    assert any(x in text for x in pii.AT)
+
+
 def test_windows_agree(model):
     text = "tion and here, mail jane.doe [at] mail [dot] org thereon. " * 60
     (base, every), = pii.find(model, [text])
