@@ -252,35 +252,59 @@ def trained(seed: int = 7) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
+#: Where numpy has no AVX-512 code for tanh, it is made of exponentials, which are quicker there; the same but for rounding.
+QUICK_TANH = "AVX512_SKX" in np.show_config(mode="dicts")["SIMD Extensions"].get("found", ())
+
+
+@np.errstate(over="ignore")
 def _scores(p, d, x):
-    """What one direction adds to the tag scores: [time, tags, rows]. Symbols are looked up for two windows at once; gates
-    and h are kept doubled, which is exact."""
+    """What one direction adds to the tag scores: [time, tags, rows]. Symbols are looked up for two windows at once; one
+    product gives what h adds to the next step and to the scores."""
     h_n, (steps, count) = HIDDEN, x.shape
     if count % 2:
         x = np.pad(x, ((0, 0), (0, 1)), constant_values=PAD)
     rows = count + count % 2
     pairs = x[:, ::2].astype(np.intp) * SYMBOLS + x[:, 1::2]
-    half = np.concatenate([np.full(3 * h_n, 0.5, np.float32), np.ones(h_n, np.float32)])[:, None]
-    w, u, v = p["w" + d] * half, p["u" + d] * (half * np.float32(0.5)), p["v" + d] * np.float32(0.5)
+    # by tanh, gates and h are doubled; by exponentials, c and h are halved: both exact
+    scale = np.repeat(np.float32([0.5, 1] if QUICK_TANH else [-1, -2]), (3 * h_n, h_n))[:, None]
+    w, uv = p["w" + d] * scale, np.concatenate([p["u" + d] * scale, p["v" + d]]) * np.float32(0.5 if QUICK_TANH else 2)
     table = np.stack([np.repeat(w, SYMBOLS, 1), np.tile(w, SYMBOLS)], -1).view(np.int64)[..., 0]
     h, c = np.zeros((h_n, rows), np.float32), np.zeros((h_n, rows), np.float32)
-    z, zu, s = np.empty((4 * h_n, rows), np.float32), np.empty((4 * h_n, rows), np.float32), np.empty_like(h)
+    z, both, s = np.empty((4 * h_n, rows), np.float32), np.empty((4 * h_n + TAGS, rows), np.float32), np.empty_like(h)
+    zu, scores = both[: 4 * h_n], both[4 * h_n :]
     looked, gates, g = z.view(np.int64), z[: 3 * h_n], z[3 * h_n :]
     i, f, o = gates[:h_n], gates[h_n : 2 * h_n], gates[2 * h_n :]
     out = np.empty((steps, TAGS, rows), np.float32)
     for t in range(steps):
         np.take(table, pairs[t], axis=1, out=looked, mode="clip")
-        np.matmul(u, h, out=zu)
+        np.matmul(uv, h, out=both)
+        if t:
+            out[t - 1] = scores
         z += zu
-        np.tanh(z, out=z)
-        gates += 1
-        c *= f
-        np.multiply(i, g, out=s)
-        c += s
-        c *= 0.5
-        np.tanh(c, out=s)
+        if QUICK_TANH:
+            np.tanh(z, out=z)
+            gates += 1
+            c *= f
+            np.multiply(i, g, out=s)
+            c += s
+            c *= 0.5
+            np.tanh(c, out=s)
+        else:
+            np.exp(z, out=z)
+            z += 1
+            np.reciprocal(z, out=z)
+            g -= 0.5
+            c *= f
+            np.multiply(i, g, out=s)
+            c += s
+            np.multiply(c, -4, out=s)
+            np.exp(s, out=s)
+            s += 1
+            np.reciprocal(s, out=s)
+            s -= 0.5
         np.multiply(o, s, out=h)
-        np.matmul(v, h, out=out[t])
+    np.matmul(uv, h, out=both)
+    out[-1] = scores
     return out[..., :count]
 
 
