@@ -25,8 +25,9 @@ from quadloom.llm.common import documents, map_text, text_runs
 SIZE, SEED = 1024, 11
 #: Symbols: none, the letters a to z, then all other letters by their code point.
 CLASSES = 64
-#: Texts, and different trigrams, that are bundled in one matrix product.
-ROWS, GRAMS = 256, 2048
+#: Texts (256 at most, as a byte tells them apart), and different trigrams, that are bundled in one matrix product; texts whose
+#: symbols are read at once.
+ROWS, GRAMS, FEW = 256, 512, 32
 UNDETERMINED = "und"
 
 
@@ -58,32 +59,46 @@ class Space:
         return cls.made
 
     def vectors(self, codes: np.ndarray) -> np.ndarray:
-        return self.first[codes >> 12] * self.second[(codes >> 6) & 63] * self.third[codes & 63]
+        made = self.first[codes >> 12]
+        made *= self.second[(codes >> 6) & 63]
+        made *= self.third[codes & 63]
+        return made
+
+    def grams(self, texts: list[str], at: int) -> np.ndarray:
+        """The trigrams of up to ROWS texts, each with its text's place (from `at`) in the lowest byte."""
+        symbols = self.table[np.frombuffer((" " + " ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), "<u4")]
+        size = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+        size[0] += 1
+        owner = np.repeat(np.arange(at, at + len(texts), dtype=np.uint8), size)  # of each symbol: the text it stands in or ends
+        keep = (symbols > 0) | np.r_[True, (symbols[1:] > 0) | (symbols[:-1] > 0) | (owner[1:] != owner[:-1])]
+        symbols, owner = symbols[keep], owner[keep]
+        real = np.flatnonzero(symbols[1:-1])  # the middle is a letter
+        made = owner[1:-1][real].astype(np.int32)
+        for k, shift in enumerate((20, 14, 8)):
+            made |= symbols[k : len(symbols) - 2 + k][real].astype(np.int32) << shift
+        return made
 
     def bundles(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A vector for each text, and whether it has a letter."""
         out, letters = np.zeros((len(texts), SIZE), np.float32), np.zeros(len(texts), np.bool_)
         for at in range(0, len(texts), ROWS):
             part = texts[at : at + ROWS]
-            symbols = self.table[np.frombuffer((" " + " ".join(part) + " ").encode("utf-32-le", "surrogatepass"), "<u4")]
-            size = np.fromiter((len(t) + 1 for t in part), np.int64, len(part))
-            owner = np.repeat(np.arange(len(part)), size)  # of each symbol but the first: the text it stands in or ends
-            owner = np.r_[0, owner]
-            keep = (symbols > 0) | np.r_[True, (symbols[1:] > 0) | (symbols[:-1] > 0) | (owner[1:] != owner[:-1])]
-            symbols, owner = symbols[keep].astype(np.int64), owner[keep]
-            codes = (symbols[:-2] << 12) | (symbols[1:-1] << 6) | symbols[2:]
-            of = owner[1:-1]
-            real = symbols[1:-1] > 0  # the middle is a letter
-            codes, of = codes[real], of[real]
-            letters[at : at + len(part)] = np.bincount(of, minlength=len(part)) > 0
-            known, where = np.unique(codes, return_inverse=True)
-            order = np.argsort(where, kind="stable")
-            where, of = where[order], of[order]
+            found = np.concatenate([self.grams(part[a : a + FEW], a) for a in range(0, len(part), FEW)])
+            if not len(found):
+                continue
+            found.sort()
+            edge = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])  # of each trigram of each text
+            times, found = np.diff(edge, append=len(found)), found[edge]
+            codes, of = found >> 8, found & 255
+            letters[at + of] = True
+            new = np.r_[True, codes[1:] != codes[:-1]]
+            known, where = codes[new], np.cumsum(new) - 1
             for first in range(0, len(known), GRAMS):  # so many different trigrams at once
                 some = known[first : first + GRAMS]
                 a, b = np.searchsorted(where, [first, first + GRAMS])
-                counts = np.bincount(of[a:b] * len(some) + where[a:b] - first, minlength=len(part) * len(some)).reshape(len(part), len(some))
-                out[at : at + len(part)] += counts.astype(np.float32) @ self.vectors(some)
+                counts = np.zeros((len(part), len(some)), np.float32)
+                counts[of[a:b], where[a:b] - first] = times[a:b]
+                out[at : at + len(part)] += counts @ self.vectors(some)
         return out, letters
 
 
@@ -119,14 +134,19 @@ def identify(df: DataFrame, known: dict[str, list[int]], keep=("doc_id",), text:
     matrix /= np.maximum(1e-12, np.linalg.norm(matrix, axis=1, keepdims=True))
 
     def fn(texts):
-        vectors, letters = Space.get().bundles([t or "" for t in texts])
-        if not names:
-            return [[UNDETERMINED] * len(texts), [0.0] * len(texts)]
-        length = np.linalg.norm(vectors.astype(np.float64), axis=1)
-        near = vectors @ matrix.T / np.maximum(1e-12, length)[:, None]
-        best = near.argmax(1)
-        score = np.clip(near[np.arange(len(texts)), best], 0, 1)
-        return [[names[b] if ok else UNDETERMINED for b, ok in zip(best, letters, strict=True)], np.where(letters, score, 0.0).tolist()]
+        preds, scores = [], []
+        for at in range(0, len(texts), ROWS):  # a vector takes more than a short text
+            vectors, letters = Space.get().bundles([t or "" for t in texts[at : at + ROWS]])
+            if not names:
+                letters[:] = False
+                near = np.zeros((len(vectors), 1))
+            else:
+                vectors = vectors.astype(np.float64)
+                near = vectors @ matrix.T / np.maximum(1e-12, np.linalg.norm(vectors, axis=1))[:, None]
+            best = near.argmax(1)
+            preds += [names[b] if ok else UNDETERMINED for b, ok in zip(best, letters, strict=True)]
+            scores += np.where(letters, np.clip(near[np.arange(len(near)), best], 0, 1), 0.0).tolist()
+        return [preds, scores]
 
     return map_text(df, keep, text, "lang_pred string, score double", fn)
 

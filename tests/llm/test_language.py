@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -39,3 +40,30 @@ def test_edges(spark, tmp_path):
     got = {r.doc_id: r for r in language.op8_language(spark, str(tmp_path)).collect()}
     assert [got[i].lang_pred for i in (100, 101, 102)] == ["und"] * 3
     assert got[103].lang_pred in ("de", "en") and got[None].lang_pred == "en" and got[104].lang_pred == "de"
+
+
+def test_memory_of_bundling():
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.choice([32, *range(97, 123), 0xE9, 0x4E2D], 2500))) for _ in range(400)]
+    space = language.Space.get()
+    tracemalloc.start()
+    got, _ = space.bundles(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # a million symbols, 20,000 different trigrams
+    assert all((got[i] == space.bundles([texts[i]])[0][0]).all() for i in (0, 255, 256, 399))
+
+
+def test_short_texts_go_by_rows():
+    made, bundles = [], language.Space.bundles
+
+    def watched(self, texts):
+        made.append(len(texts))
+        return bundles(self, texts)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(language.Space, "bundles", watched)
+        m.setattr(language, "map_text", lambda df, keep, text, fields, fn: fn)
+        fn = language.identify(None, {"de": [1] * language.SIZE, "en": [-1] * language.SIZE})
+        preds, scores = fn([None, "", "12", "the"] * 500)
+    assert max(made) <= language.ROWS and len(preds) == len(scores) == 2000 and preds[1996:1999] == ["und"] * 3
