@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import documents, map_text, text_runs
+from quadloom.llm.common import documents, giving_back, map_text, text_runs
 
 SIZE, SEED = 1024, 11
 #: Symbols: none, the letters a to z, then all other letters by their code point.
@@ -122,7 +122,7 @@ def prototypes(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[st
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["lang", "v"])
 
     known = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(df[text].cast("string"), df[lang].cast("string"))
-    parts = known.mapInArrow(run, "lang string, v array<long>").select("lang", F.posexplode("v").alias("i", "x"))
+    parts = known.mapInArrow(giving_back(run), "lang string, v array<long>").select("lang", F.posexplode("v").alias("i", "x"))
     summed = parts.groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
     return {r.lang: [x.x for x in r.v] for r in summed.collect() if any(x.x for x in r.v)}
 

@@ -1,5 +1,9 @@
+import re
 import tracemalloc
 
+import pyarrow as pa
+import pytest
+
 from quadloom.llm import pii
 from quadloom.llm.common import map_text
 
@@ -27,3 +31,23 @@ def test_memory_of_tagging():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 45e6  # 1.3 million characters
+
+
+def test_a_task_gives_its_memory_back(spark):
+    df, pins = spark.createDataFrame([(1, "a")], "i long, text string"), []
+
+    def fn(texts):
+        held = [b"x" * 100_000 for _ in range(1500)]
+        pins.append(b"x" * 100_000)  # stands behind them
+        return [[len(held)] * len(texts)]
+
+    def anonymous():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"\nPss_Anon:\s+(\d+)", f.read())[1]) / 1024
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(df), "mapInArrow", lambda self, run, schema: run)
+        run = map_text(df, ["i"], "text", "n long", fn)
+    before = anonymous()
+    (got,) = run(iter([pa.RecordBatch.from_pydict({"i": [1], "text": ["a"]})]))
+    assert got.to_pydict() == {"i": [1], "n": [1500]} and anonymous() < before + 50
