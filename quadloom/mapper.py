@@ -13,8 +13,9 @@ from quadloom.errors import MappingError
 from quadloom.functions import Registry
 from quadloom.mapping.loader import load_mapping
 from quadloom.mapping.model import LogicalSource, RefObjectMap, TriplesMap, mappable, texts_read
+from quadloom.plans.sets import Source, as_set
 from quadloom.plans.terms import Compiler, Options
-from quadloom.plans.triples import COLUMNS, MapPlan, branches, fused, joined
+from quadloom.plans.triples import COLUMNS, QUAD, MapPlan, branches, constant_of, fused, joined
 from quadloom.rdf.terms import QL
 from quadloom.sources import FORMULATIONS, Records, check_iterator, file_resolver, first_of
 
@@ -102,6 +103,23 @@ class Mapper:
 
     def map(self, streams: Mapping[str, DataFrame] | DataFrame | None = None, triples_maps: Iterable[TriplesMap | str] | None = None, predicates: Iterable[str] | None = None, _provided: DataFrame | None = None) -> DataFrame:
         """The quads, as a bag. triples_maps: only these (or ids); a parent that is left out joins nothing."""
+        predicates = None if predicates is None else list(predicates)
+        sources, layout = self._sources(streams, triples_maps, predicates, _provided)
+        make = fused if layout == "fused" else branches
+        made = [(branches if source.joined else make)(source.df, source.statements) for source in sources]
+        out = made[0] if made else self._nothing()
+        for more in made[1:]:
+            out = out.unionByName(more)
+        return self._filtered(out.select(*COLUMNS), predicates)
+
+    def _nothing(self) -> DataFrame:
+        return self.spark.createDataFrame([], QUAD[len("struct<") : -1])
+
+    def _filtered(self, out: DataFrame, predicates: Iterable[str] | None) -> DataFrame:
+        return out if predicates is None else out.where(F.col("predicate").isin(*predicates))
+
+    def _sources(self, streams, triples_maps, predicates, _provided) -> tuple[list[Source], str]:
+        """Records with the statements that they make, and the layout."""
         if isinstance(streams, DataFrame):
             streams = {DEFAULT_STREAM: streams}
         chosen = self.triples_maps
@@ -122,19 +140,17 @@ class Mapper:
             plan = MapPlan(m, c, lambda parent, m=m: parent.source == m.source).plan()
             statements.setdefault(m.source, []).extend(s for s in plan.statements if wanted is None or s.predicate is None or s.predicate in wanted)
             for ref, terms in plan.joins:
-                if ref.parent in chosen:
-                    parts.append(joined(c, ref, terms, compilers[ref.parent.source]))
-        make = fused if layout == "fused" else branches
-        made = [made for source, found in statements.items() if (made := make(compilers[source].df, found)) is not None] + parts
-        out = made[0] if made else self.spark.createDataFrame([], "subject string, predicate string, object string, object_kind string, datatype string, lang string, graph string")
-        for more in made[1:]:
-            out = out.unionByName(more)
-        out = out.select(*COLUMNS)
-        return out if wanted is None else out.where(F.col("predicate").isin(*wanted))
+                p = constant_of(terms[1])
+                if ref.parent in chosen and (wanted is None or p is None or p in wanted):
+                    df, made = joined(c, ref, terms, compilers[ref.parent.source])
+                    parts.append(Source(df, [made], joined=True))
+        return [Source(compilers[source].df, found) for source, found in statements.items() if found] + parts, layout
 
-    def map_to_model(self, *args, **kwargs) -> DataFrame:
+    def map_to_model(self, streams: Mapping[str, DataFrame] | DataFrame | None = None, triples_maps: Iterable[TriplesMap | str] | None = None, predicates: Iterable[str] | None = None) -> DataFrame:
         """The quads, as a set."""
-        return self.map(*args, **kwargs).distinct()
+        predicates = None if predicates is None else list(predicates)
+        sources, layout = self._sources(streams, triples_maps, predicates, None)
+        return self._filtered(as_set(sources, layout) if sources else self._nothing(), predicates)
 
     def map_record(self, record, triples_maps: Iterable[TriplesMap | str] | None = None) -> DataFrame:
         """The quads of one record: a dict (CSV, table), text (JSON, XML), or a dict or list for JSON."""

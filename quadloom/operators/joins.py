@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.plans.terms import Term, there
+from quadloom.plans.terms import there
 
 
 def keyed(parent: DataFrame, subjects: Column, values: Column) -> DataFrame:
@@ -17,15 +17,15 @@ def keyed(parent: DataFrame, subjects: Column, values: Column) -> DataFrame:
     return parent.select(F.explode(values).alias("k"), subjects.alias("os")).select("k", F.explode("os").alias("o")).distinct()
 
 
-def keyed_once(parent: DataFrame, subject: Term, key: Column) -> DataFrame:
-    """k, o: as keyed, for records of one value and one subject."""
-    return parent.where(there((key, *subject.needs))).select(key.alias("k"), subject.value.alias("o")).distinct()
+def keyed_once(parent: DataFrame, needs: tuple[Column, ...], key: Column, subject: Column | None) -> DataFrame:
+    """k, o: as keyed, for records of one value and one subject. subject: none where it follows from the key."""
+    return parent.where(there((key, *needs))).select(key.alias("k"), *([] if subject is None else [subject.alias("o")])).distinct()
 
 
 def join_once(child: DataFrame, parent: DataFrame) -> DataFrame:
-    """A child's record with one value meets each subject once, as the parent's rows are distinct: no set is needed
-    behind the join."""
-    return child.join(parent, "k").drop("k")
+    """k, what the child has, and o. A child's record with one value meets each subject once, as the parent's rows are
+    distinct: no set is needed behind the join."""
+    return child.join(parent, "k")
 
 
 def join_subjects(child: DataFrame, payload: list[str], conditions: list[tuple[str, DataFrame]]) -> DataFrame:

@@ -71,6 +71,27 @@ class Term:
         return F.when(there(self.needs), made) if self.needs else made
 
 
+def fixed(text: str) -> Column:
+    """A constant that is known to be one (see form)."""
+    c = F.lit(text)
+    vars(c)["form"] = (text, None)
+    return c
+
+
+def begun(prefix: str, rest: Column, column: Column | None = None) -> Column:
+    """A column of texts that all begin with the prefix (see form). column: the whole text, if there is one."""
+    if column is None and not prefix:
+        return rest
+    c = F.concat(F.lit(prefix), rest) if column is None else column
+    vars(c)["form"] = (prefix, rest)
+    return c
+
+
+def form(c: Column) -> tuple[str, Column | None]:
+    """What the plan knows of a column of texts: how all begin, and the column of what follows (none: nothing does)."""
+    return vars(c).get("form") or ("", c)
+
+
 def there(needs: tuple[Column, ...]) -> Column:
     """None of the columns is null."""
     each = list({str(c): c for c in needs}.values())
@@ -141,8 +162,8 @@ class Compiler:
         while len(self.levels) <= level:
             self.levels.append({})
         self.levels[level][name] = column
-        self.bound[name if key is None else key] = F.col(name)
-        return F.col(name)
+        made = self.bound[name if key is None else key] = F.col(name)
+        return made
 
     @property
     def df(self) -> DataFrame:
@@ -239,7 +260,11 @@ class Compiler:
             if kind == "iri" and (prefix := iri.known_valid(parts, o.base_iri)) is not None:
                 if prefix:
                     columns.insert(0, F.lit(prefix))
-                return Texts(self.bind(F.concat(*columns), ("iri", None, text)), valid=True, parts=used)
+                begin = prefix + (parts[0][1] if parts[0][0] == "text" else "")
+                follow = columns[bool(prefix) + (parts[0][0] == "text") :]
+                rest = follow[0] if len(follow) == 1 else self.bind(F.concat(*follow), ("rest", text))
+                whole = self.bind(F.concat(F.lit(begin), rest) if begin else rest, ("iri", None, text))
+                return Texts(begun(begin, rest, whole), valid=True, parts=used)
             return Texts(self.bind(F.concat(*columns), ("template", text, kind)), parts=used)
         # position by position; of unequal lists an error, unless one is empty
         lists = [self.bind(_normal_array(r.many, o.normalization), ("normals", v)) if kind == "iri" else r.many for (k, r), (_, v) in zip(refs, parts, strict=True) if k == "expr"]
@@ -284,7 +309,7 @@ class Compiler:
     def _literals(self, e: ExpressionMap, texts: Texts) -> Terms:
         language, datatype = getattr(e, "language", None), getattr(e, "datatype", None)
         if language is None and datatype is None:
-            return _mapped(texts, lambda v: v, "literal", F.lit(XSD + "string"))
+            return _mapped(texts, lambda v: v, "literal", fixed(XSD + "string"))
         if language is not None:
             return self._tagged(texts, self._tags(language))
         types = self.terms(datatype, "datatype")
@@ -310,7 +335,7 @@ class Compiler:
 
     def _tagged(self, texts: Texts, tags: Terms) -> Terms:
         if texts.one is not None and tags.one is not None:
-            return Terms(Term(texts.one, "literal", F.lit(LANG_STRING), tags.one.value, texts.needs + tags.one.needs))
+            return Terms(Term(texts.one, "literal", fixed(LANG_STRING), tags.one.value, texts.needs + tags.one.needs))
         return Terms(array=F.flatten(F.transform(texts.many, lambda v: F.transform(tags.many, lambda t: term(v, "literal", F.lit(LANG_STRING), t.value)))))
 
 
@@ -342,5 +367,5 @@ def _mapped(texts: Texts, make: Callable[[Column], Column], kind: str, datatype:
 
 def _constant(c) -> Term:
     if isinstance(c, Literal):
-        return Term(F.lit(c.value), "literal", F.lit(c.datatype), F.lit(c.lang).cast("string"))
-    return Term(F.lit(f"_:{c.value}" if isinstance(c, BNode) else c.value), "bnode" if isinstance(c, BNode) else "iri")
+        return Term(fixed(c.value), "literal", fixed(c.datatype), None if c.lang is None else fixed(c.lang))
+    return Term(fixed(f"_:{c.value}" if isinstance(c, BNode) else c.value), "bnode" if isinstance(c, BNode) else "iri")

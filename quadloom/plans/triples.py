@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quadloom.errors import MappingError
 from quadloom.mapping.model import ExpressionMap, RefObjectMap, TriplesMap
 from quadloom.operators.joins import join_once, join_subjects, keyed, keyed_once
-from quadloom.plans.terms import Compiler, Term, Terms, there
+from quadloom.plans.terms import Compiler, Term, Terms, begun, fixed, form, there
 from quadloom.rdf.terms import RDF_TYPE, RR
 
 QUAD = "struct<subject:string,predicate:string,object:string,object_kind:string,datatype:string,lang:string,graph:string>"
@@ -26,12 +26,13 @@ DEFAULT = RR + "defaultGraph"
 
 @dataclass
 class Statements:
-    """Quads of a record: one (`one`, a struct) if none of `needs` is null, or an array."""
+    """Quads of a record: one (`one`, a struct, made of `terms`) if none of `needs` is null, or an array."""
 
     one: Column | None = None
     needs: tuple[Column, ...] = ()
     array: Column | None = None
     predicate: str | None = None
+    terms: tuple[Term, Term, Term, Term] | None = None
 
 
 def _quad(s, p, o, g) -> Column:
@@ -42,7 +43,7 @@ def _quad(s, p, o, g) -> Column:
 
 
 def no_graph() -> Terms:
-    return Terms(Term(F.lit(DEFAULT), "iri"))
+    return Terms(Term(fixed(DEFAULT), "iri"))
 
 
 def union_of(terms: Iterable[Terms]) -> Terms:
@@ -52,10 +53,14 @@ def union_of(terms: Iterable[Terms]) -> Terms:
     return Terms(array=F.array_distinct(F.concat(*[t.many for t in terms])))
 
 
+def single(s: Term, p: Term, o: Term, g: Term) -> Statements:
+    return Statements(_quad(s, p, o, g), tuple(c for t in (s, p, o, g) for c in t.needs), terms=(s, p, o, g))
+
+
 def product(s: Terms, p: Terms, o: Terms, g: Terms) -> Statements:
     parts = (s, p, o, g)
     if all(t.one is not None for t in parts):
-        return Statements(_quad(s.one, p.one, o.one, g.one), tuple(c for t in parts for c in t.one.needs))
+        return single(s.one, p.one, o.one, g.one)
     needs = tuple(c for t in parts if t.one is not None for c in t.one.needs)
     arrays = [i for i, t in enumerate(parts) if t.one is None]
 
@@ -106,7 +111,7 @@ class MapPlan:
         out = Planned([], [])
         for (s, own), subject_map in zip(self.subjects(), self.m.subjects, strict=True):
             for c in subject_map.classes:
-                made = product(s, Terms(Term(F.lit(RDF_TYPE), "iri")), Terms(Term(F.lit(c), "iri")), self.graphs(own, []))
+                made = product(s, Terms(Term(fixed(RDF_TYPE), "iri")), Terms(Term(fixed(c), "iri")), self.graphs(own, []))
                 made.predicate = RDF_TYPE
                 out.statements.append(made)
             for pom in self.m.poms:
@@ -156,33 +161,42 @@ def branches(df: DataFrame, statements: list[Statements]) -> DataFrame | None:
     return out
 
 
-def joined(child: Compiler, ref: RefObjectMap, parts: list[Terms], parent: Compiler) -> DataFrame:
-    """Quads of a reference with join conditions."""
+def joined(child: Compiler, ref: RefObjectMap, parts: list[Terms], parent: Compiler) -> tuple[DataFrame, Statements]:
+    """A reference with join conditions: the joined rows, and the statement that each of them makes."""
     if not ref.parent.subjects:
         raise MappingError(f"{ref.parent} has no subject map")
     subjects = union_of([parent.terms(x, "subject") for x in ref.parent.subjects])
     values = [child.reference(j.child) for j in ref.conditions]
     found_by = [parent.reference(j.parent) for j in ref.conditions]
-    if len(values) == 1 and all(t.one is not None for t in (*parts, subjects, values[0], found_by[0])):
-        return _joined_once(child, parts, values[0].one, parent, subjects.one, found_by[0].one)
     s, p, g = parts
-    rows = child.df.select(s.many.alias("s"), p.many.alias("p"), g.many.alias("g"), *[v.many.alias(f"v{i}") for i, v in enumerate(values)]).where((F.size("s") > 0) & (F.size("p") > 0))
-    conditions = [(f"v{i}", keyed(parent.df, subjects.many, v.many)) for i, v in enumerate(found_by)]
-    found = join_subjects(rows, ["s", "p", "g"], conditions)
-    found = found.select(F.explode("s").alias("s"), "p", "g", "o").select("s", F.explode("p").alias("p"), "g", "o").select("s", "p", "o", F.explode("g").alias("g"))
-    q = _quad(F.col("s"), F.col("p"), F.col("o"), F.col("g"))
-    return found.select(q.alias("q")).select("q.*")
+    if len(values) == 1 and all(t.one is not None for t in (*parts, subjects, values[0], found_by[0])):
+        df, made = _joined_once(child, parts, values[0].one, parent, subjects.one, found_by[0].one)
+    else:
+        rows = child.df.select(s.many.alias("s"), p.many.alias("p"), g.many.alias("g"), *[v.many.alias(f"v{i}") for i, v in enumerate(values)]).where((F.size("s") > 0) & (F.size("p") > 0))
+        conditions = [(f"v{i}", keyed(parent.df, subjects.many, v.many)) for i, v in enumerate(found_by)]
+        found = join_subjects(rows, ["s", "p", "g"], conditions)
+        found = found.select(F.explode("s").alias("s"), "p", "g", "o").select("s", F.explode("p").alias("p"), "g", "o").select("s", "p", "o", F.explode("g").alias("g"))
+        df, made = found, Statements(_quad(F.col("s"), F.col("p"), F.col("o"), F.col("g")))
+    made.predicate = constant_of(p)
+    return df, made
+
+
+def constant_of(terms: Terms) -> str | None:
+    """The text of a term that all records have."""
+    text, rest = ("", True) if terms.one is None else form(terms.one.value)
+    return text if rest is None else None
 
 
-def _joined_once(child: Compiler, parts: list[Terms], value: Column, parent: Compiler, subject: Term, key: Column) -> DataFrame:
+def _joined_once(child: Compiler, parts: list[Terms], value: Column, parent: Compiler, subject: Term, key: Column) -> tuple[DataFrame, Statements]:
     """One value, one subject, one predicate and one graph a record: no array crosses the join, and nothing that is the
-    same for all records."""
+    same for all records. A parent's subject that follows from the key alone does not cross it either."""
     needs = (value, *(c for t in parts for c in t.one.needs))
-    own = {n: t.one.value for n, t in zip("spg", parts, strict=True) if t.one.needs or n == "s"}
-    if "g" not in own:
-        own |= {"g": parts[2].one.value} if str(parts[2].one.value) != str(no_graph().one.value) else {}
+    own = {n: rest for n, t in zip("spg", parts, strict=True) if (rest := form(t.one.value)[1]) is not None}
     rows = child.df.where(there(needs)).select(*[c.alias(n) for n, c in own.items()], value.alias("k"))
-    found = join_once(rows, keyed_once(parent.df, subject, key))
-    terms = [Term(F.col(n), t.one.kind) if n in own else t.one for n, t in zip("spg", parts, strict=True)]
-    q = _quad(terms[0], terms[1], Term(F.col("o"), subject.kind), terms[2])
-    return found.select(q.alias("q")).select("q.*")
+    begin, rest = form(subject.value)
+    by_key = rest is None or rest is key
+    found = join_once(rows, keyed_once(parent.df, subject.needs, key, None if by_key else rest))
+    again = lambda t, n: Term(begun(form(t.value)[0], F.col(n)), t.kind)
+    terms = [again(t.one, n) if n in own else t.one for n, t in zip("spg", parts, strict=True)]
+    o = Term(fixed(begin), subject.kind) if rest is None else again(subject, "k" if by_key else "o")
+    return found, single(terms[0], terms[1], o, terms[2])
