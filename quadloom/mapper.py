@@ -13,7 +13,7 @@ from quadloom.errors import MappingError
 from quadloom.functions import Registry
 from quadloom.mapping.loader import load_mapping
 from quadloom.mapping.model import LogicalSource, RefObjectMap, TriplesMap, mappable, texts_read
-from quadloom.plans.sets import Source, as_set
+from quadloom.plans.sets import Source, quads_of
 from quadloom.plans.terms import Compiler, Options
 from quadloom.plans.triples import COLUMNS, QUAD, MapPlan, branches, constant_of, fused, joined
 from quadloom.rdf.terms import QL
@@ -118,7 +118,7 @@ class Mapper:
     def _filtered(self, out: DataFrame, predicates: Iterable[str] | None) -> DataFrame:
         return out if predicates is None else out.where(F.col("predicate").isin(*predicates))
 
-    def _sources(self, streams, triples_maps, predicates, _provided) -> tuple[list[Source], str]:
+    def _sources(self, streams, triples_maps, predicates, _provided, as_set: bool = False) -> tuple[list[Source], str]:
         """Records with the statements that they make, and the layout."""
         if isinstance(streams, DataFrame):
             streams = {DEFAULT_STREAM: streams}
@@ -144,13 +144,13 @@ class Mapper:
                 if ref.parent in chosen and (wanted is None or p is None or p in wanted):
                     df, made = joined(c, ref, terms, compilers[ref.parent.source])
                     parts.append(Source(df, [made], joined=True))
-        return [Source(compilers[source].df, found) for source, found in statements.items() if found] + parts, layout
+        return [Source(compilers[source].spread(len(found)) if as_set and layout == "fused" else compilers[source].df, found) for source, found in statements.items() if found] + parts, layout
 
     def map_to_model(self, streams: Mapping[str, DataFrame] | DataFrame | None = None, triples_maps: Iterable[TriplesMap | str] | None = None, predicates: Iterable[str] | None = None) -> DataFrame:
         """The quads, as a set."""
         predicates = None if predicates is None else list(predicates)
-        sources, layout = self._sources(streams, triples_maps, predicates, None)
-        return self._filtered(as_set(sources, layout) if sources else self._nothing(), predicates)
+        sources, layout = self._sources(streams, triples_maps, predicates, None, as_set=True)
+        return self._filtered(quads_of(sources, layout) if sources else self._nothing(), predicates)
 
     def map_record(self, record, triples_maps: Iterable[TriplesMap | str] | None = None) -> DataFrame:
         """The quads of one record: a dict (CSV, table), text (JSON, XML), or a dict or list for JSON."""

@@ -127,7 +127,7 @@ def classes(pieces: list[Piece]) -> list[Class]:
     return list(found.values())
 
 
-def as_set(sources: list[Source], layout: str) -> DataFrame:
+def quads_of(sources: list[Source], layout: str) -> DataFrame:
     """The distinct quads. Sources whose statements share no class are told apart each for itself."""
     made = classes([piece(i, s) for i, source in enumerate(sources) for s in source.statements])
     holds = [{p.source for p in c.pieces} for c in made]

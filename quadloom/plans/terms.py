@@ -35,6 +35,8 @@ LEXICAL = {
     "date": r"-?[0-9]{4,}-[0-9]{2}-[0-9]{2}(?:Z|[+-][0-9]{2}:[0-9]{2})?",
     "dateTime": r"-?[0-9]{4,}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?(?:Z|[+-][0-9]{2}:[0-9]{2})?",
 }
+#: Bytes of files, times statements, that one task takes before a set (an estimate: tables pack their rows up to 30 times).
+PIECE = 8 << 20
 #: By place: the term types allowed, and the kinds of constant.
 ALLOWED = {
     "subject": ({"iri", "bnode"}, (IRI,)),
@@ -168,7 +170,18 @@ class Compiler:
     @property
     def df(self) -> DataFrame:
         """The records with the columns bound so far."""
-        df = self.records.df
+        return self._over(self.records.df)
+
+    def spread(self, statements: int) -> DataFrame:
+        """As df, for a set of so many statements: records of files in pieces of even size (runs of 1,024 rows), so that what a task gathers before
+        the shuffle does not grow with the files, whose blocks need not be small. Files give their rows in one order always,
+        so a task that runs again deals them the same way."""
+        df, pieces = self.records.df, -(-self.records.size * statements // PIECE)
+        if pieces < 2:
+            return self.df
+        return self._over(df.withColumn("__at", F.shiftright(F.monotonically_increasing_id(), 10)).repartition(pieces, "__at").drop("__at"))
+
+    def _over(self, df: DataFrame) -> DataFrame:
         for level in self.levels:
             df = df.withColumns(level)
         return df

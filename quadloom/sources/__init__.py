@@ -35,6 +35,8 @@ class Records:
     plain: Callable[[str], bool] = field(default=lambda ref: False)
     #: Whether the values are known to need no escape in IRIs (numbers, not times).
     safe: Callable[[str], bool] = field(default=lambda ref: False)
+    #: Bytes of the files that df scans (0: it is no mere scan of files).
+    size: int = 0
 
 
 # ---- resolvers
@@ -124,7 +126,16 @@ def _whole(lines: list[str]) -> list[str]:
 
 
 def table_records(spark: SparkSession, logical: LogicalSource, found, provided: bool, options: dict) -> Records:
-    return _columns(found if isinstance(found, DataFrame) else spark.read.parquet(str(found)), True)
+    df = found if isinstance(found, DataFrame) else spark.read.parquet(str(found))
+    records = _columns(df, True)
+    records.size = _scanned(df)
+    return records
+
+
+def _scanned(df: DataFrame) -> int:
+    """Bytes of the files, if df is a scan of files and nothing else."""
+    plan = df._jdf.queryExecution().analyzed()
+    return int(str(plan.stats().sizeInBytes())) if plan.getClass().getSimpleName() == "LogicalRelation" else 0
 
 
 def _columns(df: DataFrame, strict: bool) -> Records:

@@ -82,3 +82,20 @@ def test_predicates_are_filtered_in_sets(spark):
     m = queries.Mapper(HEAD + table("N", "nation", queries.NATION, pom("ex:name", 'rml:reference "n_name"'), 'rr:predicateObjectMap [ rr:predicateMap [ rr:template "http://example.com/{n_regionkey}" ] ; rr:objectMap [ rml:reference "n_name" ] ]'), spark=spark, resolvers=[queries.tables_resolver(spark, DATA)])
     for wanted, n in ((["http://example.com/name"], 25), (["http://example.com/3"], 5), (iter(["http://example.com/name", "http://example.com/3"]), 30), ([], 0)):
         assert m.map_to_model(predicates=wanted).count() == n
+
+
+def test_files_are_dealt_over_even_pieces(spark, monkeypatch):
+    """What a task gathers before the shuffle hangs on the piece, not on the blocks that the files have; one scan still."""
+    for name in ("shared_source_fused", "full_kg"):
+        assert "REPARTITION_BY_NUM" in plan(queries.QUERIES[name](spark, "/root/testdata/sf0.1"))
+        assert "REPARTITION_BY_NUM" not in plan(queries.QUERIES[name](spark, DATA))
+    made = plan(queries.QUERIES["shared_source_fused"](spark, "/root/testdata/sf0.1"))
+    scan = [line for line in made.split("\n") if "FileScan" in line]
+    assert len(scan) == 1 and "l_comment" not in scan[0] and "Python" not in made
+
+    key = lambda df: sorted(map(str, (tuple(r) for r in df.collect())))
+    whole = {name: key(queries.QUERIES[name](spark, DATA)) for name in ("multi_predicate_object", "full_kg")}
+    monkeypatch.setattr("quadloom.plans.terms.PIECE", 2000)
+    for name, want in whole.items():
+        made = queries.QUERIES[name](spark, DATA)
+        assert "REPARTITION_BY_NUM" in plan(made) and key(made) == want
