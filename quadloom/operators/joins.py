@@ -18,14 +18,14 @@ def keyed(parent: DataFrame, subjects: Column, values: Column) -> DataFrame:
 
 
 def keyed_once(parent: DataFrame, needs: tuple[Column, ...], key: Column, subject: Column | None) -> DataFrame:
-    """k, o: as keyed, for records of one value and one subject. subject: none where it follows from the key."""
+    """k, o: as keyed, for records of one value and one subject. subject: none where all have one that is known."""
     return parent.where(there((key, *needs))).select(key.alias("k"), *([] if subject is None else [subject.alias("o")])).distinct()
 
 
 def join_once(child: DataFrame, parent: DataFrame) -> DataFrame:
-    """k, what the child has, and o. A child's record with one value meets each subject once, as the parent's rows are
+    """What the child has, and o. A child's record with one value meets each subject once, as the parent's rows are
     distinct: no set is needed behind the join."""
-    return child.join(parent, "k")
+    return child.join(parent, "k").drop("k")
 
 
 def join_subjects(child: DataFrame, payload: list[str], conditions: list[tuple[str, DataFrame]]) -> DataFrame:

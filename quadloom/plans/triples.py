@@ -189,14 +189,14 @@ def constant_of(terms: Terms) -> str | None:
 
 def _joined_once(child: Compiler, parts: list[Terms], value: Column, parent: Compiler, subject: Term, key: Column) -> tuple[DataFrame, Statements]:
     """One value, one subject, one predicate and one graph a record: no array crosses the join, and nothing that is the
-    same for all records. A parent's subject that follows from the key alone does not cross it either."""
+    same for all records, nor how all subjects begin. A parent's subject crosses it even where it is the key itself: a set of
+    subject and key would be left as the join deals it, by keys alone, and a key that most records have would be one task's."""
     needs = (value, *(c for t in parts for c in t.one.needs))
     own = {n: rest for n, t in zip("spg", parts, strict=True) if (rest := form(t.one.value)[1]) is not None}
     rows = child.df.where(there(needs)).select(*[c.alias(n) for n, c in own.items()], value.alias("k"))
     begin, rest = form(subject.value)
-    by_key = rest is None or rest is key
-    found = join_once(rows, keyed_once(parent.df, subject.needs, key, None if by_key else rest))
+    found = join_once(rows, keyed_once(parent.df, subject.needs, key, rest))
     again = lambda t, n: Term(begun(form(t.value)[0], F.col(n)), t.kind)
     terms = [again(t.one, n) if n in own else t.one for n, t in zip("spg", parts, strict=True)]
-    o = Term(fixed(begin), subject.kind) if rest is None else again(subject, "k" if by_key else "o")
+    o = Term(fixed(begin), subject.kind) if rest is None else again(subject, "o")
     return found, single(terms[0], terms[1], o, terms[2])

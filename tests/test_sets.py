@@ -99,3 +99,21 @@ def test_files_are_dealt_over_even_pieces(spark, monkeypatch):
     for name, want in whole.items():
         made = queries.QUERIES[name](spark, DATA)
         assert "REPARTITION_BY_NUM" in plan(made) and key(made) == want
+
+
+def test_links_are_narrow_and_not_dealt_by_keys(spark):
+    """Neither a join nor the set behind it holds what all its quads have; the set is dealt by subject and object, so that
+    a key that most records have is not one task's."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, joins in (("full_kg", 4), ("join_large", 1)):
+            made = plan(queries.QUERIES[name](spark, DATA))
+            keys = [k.split(",") for k in re.findall(r"HashAggregate\(keys=\[([^]]*)\]", made)]
+            assert keys and all(len(k) <= 3 for k in keys)
+            assert made.count("SortMergeJoin") == joins
+            above = [made[:at].split("Exchange hashpartitioning(")[-1].split(")")[0] for at in (m.start() for m in re.finditer("SortMergeJoin", made))]
+            assert all(a.startswith("s#") and ", o#" in a for a in above)
+            assert "http://" not in "".join(line for line in made.split("\n") if "Project [" in line)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
